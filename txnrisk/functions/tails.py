@@ -4,8 +4,7 @@ Both are tiny pandas UDFs over already aggregated rows. They are built inside fu
 they travel to the executors by value and need nothing installed there.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -33,26 +32,24 @@ def chi_square_tail():
 def chi_square_p(statistic: Column, dof: Column) -> Column:
     tail = chi_square_tail()
 
-    def batch(x, k):
-        import pandas as pd
-
+    @F.pandas_udf(T.DoubleType())
+    def batch(x: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series(
             [None if pd.isna(a) else tail(float(a), int(b)) for a, b in zip(x, k)],
             dtype="float64",
         )
 
-    return F.pandas_udf(batch, T.DoubleType(), F.PandasUDFType.SCALAR)(statistic, dof)
+    return batch(statistic, dof)
 
 
 def two_sided_normal_p(z: Column) -> Column:
-    def batch(values):
+    @F.pandas_udf(T.DoubleType())
+    def batch(values: pd.Series) -> pd.Series:
         import math
 
-        import pandas as pd
-
         return pd.Series(
             [None if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2.0))) for v in values],
             dtype="float64",
         )
 
-    return F.pandas_udf(batch, T.DoubleType(), F.PandasUDFType.SCALAR)(z)
+    return batch(z)

@@ -40,18 +40,21 @@ def rename_and_prune(raw: DataFrame) -> DataFrame:
     return raw.select(*kept)
 
 
-def _convertible(name: str) -> Column:
-    converted = F.col(name).try_cast(TARGET_TYPES[name])
-    if name in NULL_ALLOWED:
-        return F.col(name).isNull() | converted.isNotNull()
-    return converted.isNotNull()
+def _value(rows: DataFrame, name: str) -> Column:
+    """The column in its target type; null where the text or number does not convert."""
+    if dict(rows.dtypes)[name] == TARGET_TYPES[name]:
+        return F.col(name)
+    return F.col(name).try_cast(TARGET_TYPES[name])
 
 
-def _converted(name: str) -> Column:
-    value = F.col(name).try_cast(TARGET_TYPES[name])
-    if name == "amount":
-        value = round_half_even(value, 2).cast(S.MONEY)
-    return value
+def _convertible(rows: DataFrame, name: str) -> Column:
+    present = _value(rows, name).isNotNull()
+    return F.col(name).isNull() | present if name in NULL_ALLOWED else present
+
+
+def _converted(rows: DataFrame, name: str) -> Column:
+    value = _value(rows, name)
+    return round_half_even(value, 2).cast(S.MONEY) if name == "amount" else value
 
 
 def typed(renamed: DataFrame) -> DataFrame:
@@ -64,16 +67,19 @@ def typed(renamed: DataFrame) -> DataFrame:
         complaint = F.raise_error(
             F.concat(F.lit(f"bad {name}: "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
         )
-        out.append(F.when(_convertible(name), _converted(name)).otherwise(complaint).alias(name))
+        accepted = F.when(_convertible(renamed, name), _converted(renamed, name))
+        out.append(accepted.otherwise(complaint).alias(name))
     return renamed.select(*out)
 
 
 def typed_with_quarantine(renamed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that convert, and the untouched rows that do not."""
-    good = reduce(lambda a, b: a & b, [_convertible(n) for n in CLEAN_COLUMNS])
+    good = reduce(lambda a, b: a & b, [_convertible(renamed, n) for n in CLEAN_COLUMNS])
     rest = [F.col(c) for c in renamed.columns if c not in TARGET_TYPES]
     return (
-        renamed.where(good).select(*[_converted(n).alias(n) for n in CLEAN_COLUMNS], *rest),
+        renamed.where(good).select(
+            *[_converted(renamed, n).alias(n) for n in CLEAN_COLUMNS], *rest
+        ),
         renamed.where(~good),
     )
 
@@ -120,29 +126,38 @@ def clean_summary(rows: DataFrame) -> DataFrame:
 
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations of key, not-null and reference rules, one row per rule."""
+    """Violations of key, not-null and reference rules, one row per rule.
+
+    All not-null rules of a table share one scan; keys and references are counted per key before
+    anything is compared.
+    """
     checks = []
     for name, df in tables.items():
         key = S.KEYS[name]
         repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        checks.append(_check(name, "unique", key, repeated))
-        for field in S.TABLES[name].fields:
-            if not field.nullable:
-                checks.append(
-                    _check(name, "not null", field.name, df.where(F.col(field.name).isNull()))
-                )
+        checks.append(_violations(name, "unique", key, repeated))
+        checks.append(_missing_values(name, df))
     fact = tables["fact_transactions"]
     for column, parent in S.FOREIGN_KEYS.items():
-        used = fact.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-        orphans = used.join(tables[parent], column, "left_anti")
-        checks.append(_check("fact_transactions", "reference", column, orphans))
+        orphans = fact.select(column).distinct().join(tables[parent], column, "left_anti")
+        checks.append(_violations("fact_transactions", "reference", column, orphans))
     return reduce(DataFrame.unionByName, checks)
 
 
-def _check(table: str, rule: str, column: str, bad: DataFrame) -> DataFrame:
+def _violations(table: str, rule: str, column: str, bad: DataFrame) -> DataFrame:
     return bad.agg(F.count(F.lit(1)).alias("violations")).select(
         F.lit(table).alias("table_name"),
         F.lit(rule).alias("rule"),
         F.lit(column).alias("column_name"),
         "violations",
     )
+
+
+def _missing_values(table: str, df: DataFrame) -> DataFrame:
+    required = [f.name for f in S.TABLES[table].fields if not f.nullable]
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+    pairs = [x for c in required for x in (F.lit(c), F.col(c))]
+    spread = F.stack(F.lit(len(required)), *pairs).alias("column_name", "violations")
+    return counts.select(
+        F.lit(table).alias("table_name"), F.lit("not null").alias("rule"), spread
+    )

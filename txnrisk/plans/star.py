@@ -30,14 +30,17 @@ class Star:
         )
 
 
-def build_star(raw: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE) -> Star:
+def build_star(
+    raw: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
+) -> Star:
     """Clean, add features, write the fact once, and derive every dimension from what was written."""
     spark = raw.sparkSession
     staged = f"{folder}/clean"
     files.write_parquet(quality.clean(raw), staged)
     rows = spark.read.parquet(staged)
-    files.write_fact(build_fact(rows, heavy_above=heavy_above), f"{folder}/fact_transactions")
-    fact = files.read_fact(spark, f"{folder}/fact_transactions")
+    target = f"{folder}/fact_transactions"
+    files.write_fact(build_fact(rows, heavy_above=heavy_above), target, daily_folders=daily_folders)
+    fact = files.read_fact(spark, target)
     for name, build in (
         ("dim_date", dims.build_dim_date),
         ("dim_customer", dims.build_dim_customer),
@@ -115,11 +118,11 @@ def register_view(star: Star) -> DataFrame:
 _opened: dict[tuple[str, str, str], str] = {}
 
 
-def star_for(raw_reader, spark: SparkSession, source: str) -> Star:
+def star_for(raw_reader, spark: SparkSession, source: str, daily_folders: bool = True) -> Star:
     """The star of a source, built once per application in the shared folder and read from there."""
     key = (spark.sparkContext.applicationId, raw_reader.__name__, source)
     if key not in _opened:
         folder = fresh_path(spark, "star")
-        build_star(raw_reader(spark, source), folder)
+        build_star(raw_reader(spark, source), folder, daily_folders=daily_folders)
         _opened[key] = folder
     return open_star(spark, _opened[key])

@@ -9,12 +9,13 @@ from txnrisk.functions.dates import date_key, day
 
 
 def landed_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Days present in a landing folder; read from the partition names alone."""
+    """Days present in a landing folder, from the names of its partition folders."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return spark.createDataFrame([], "date_key int")
-    return read_landed(spark, folder).select("date_key").distinct()
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.listStatus(path) if store.exists(path) else []
+    names = [status.getPath().getName() for status in found]
+    days = [(int(n.split("=")[1]),) for n in names if n.startswith("date_key=")]
+    return spark.createDataFrame(days, "date_key int")
 
 
 def read_landed(spark: SparkSession, folder: str) -> DataFrame:
