@@ -17,7 +17,7 @@ def one(df):
 @pytest.mark.parametrize(
     "value, places, even, up",
     [(0.5, 0, 0.0, 1.0), (1.5, 0, 2.0, 2.0), (-0.5, 0, 0.0, -1.0), (16.955, 2, 16.95, 16.95),
-     (2.675, 2, 2.67, 2.67), (0.125, 2, 0.12, 0.13), (1234.5674, 3, 1234.567, 1234.567)],
+     (2.675, 2, 2.68, 2.68), (0.125, 2, 0.12, 0.13), (1234.5674, 3, 1234.567, 1234.567)],
 )
 def test_rounding_rules(spark, value, places, even, up):
     row = spark.range(1).select(
