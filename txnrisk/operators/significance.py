@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from txnrisk import schema as S
 from txnrisk.functions.money import cents, frauds, money, ratio, txns
 from txnrisk.functions.rounding import round_half_even
+from txnrisk.functions.windows import whole
 from txnrisk.functions.tails import chi_square_p, two_sided_normal_p
 from txnrisk.operators.ordered import prefix_sums, values_at
 
-ALL = W.partitionBy()  # only over contingency cells
 WIDE = "decimal(38,0)"
 
 
@@ -191,7 +191,7 @@ def chi_square(
         ),
     )
     column_total = F.sum("_seen").over(W.partitionBy("_flag"))
-    grand = F.sum("_seen").over(ALL)
+    grand = F.sum("_seen").over(whole())
     cells = cells.select(
         "_seen",
         grand.alias("_grand"),

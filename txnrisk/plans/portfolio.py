@@ -19,8 +19,8 @@ from txnrisk.functions.money import (
     value_cents,
 )
 from txnrisk.functions.rounding import round_half_up as r
+from txnrisk.functions.windows import whole
 
-ALL = W.partitionBy()  # only ever put over rows already aggregated to a handful
 
 
 def rate_pct(fraud: str = "fraud_txns", count: str = "txns", digits: int = 3):
@@ -61,12 +61,12 @@ def class_profile(fact: DataFrame) -> DataFrame:
     return base.select(
         labels.txn_class(F.col("is_fraud")).alias("txn_class"),
         "txns",
-        r(percent(F.col("txns"), F.sum("txns").over(ALL)), 3).alias("pct_of_txns"),
+        r(percent(F.col("txns"), F.sum("txns").over(whole())), 3).alias("pct_of_txns"),
         r(money(F.col("_value")) / F.col("txns"), 2).alias("avg_amount"),
         r(F.col("_min"), 2).alias("min_amount"),
         r(F.col("_max"), 2).alias("max_amount"),
         r(money(F.col("_value")), 2).alias("total_value"),
-        r(percent(F.col("_value"), F.sum("_value").over(ALL)), 3).alias("pct_of_value"),
+        r(percent(F.col("_value"), F.sum("_value").over(whole())), 3).alias("pct_of_value"),
     )
 
 
@@ -89,7 +89,7 @@ def loss_by_type(fact: DataFrame) -> DataFrame:
         r(money(F.col("_loss")) / F.col("incidents"), 2).alias("avg_loss"),
         "customers_hit",
         "terminals_involved",
-        r(percent(F.col("_loss"), F.sum("_loss").over(ALL)), 2).alias("pct_of_total_loss"),
+        r(percent(F.col("_loss"), F.sum("_loss").over(whole())), 2).alias("pct_of_total_loss"),
     ).orderBy(F.desc("loss_value"), "fraud_type")
 
 
@@ -98,7 +98,7 @@ def band_lift(fact: DataFrame) -> DataFrame:
     base = fact.groupBy("amount_band").agg(
         txns().alias("txns"), frauds().alias("fraud_txns"), fraud_cents_or_zero().alias("_fraud")
     )
-    baseline = ratio(F.sum("fraud_txns").over(ALL), F.sum("txns").over(ALL))
+    baseline = ratio(F.sum("fraud_txns").over(whole()), F.sum("txns").over(whole()))
     own = F.col("fraud_txns").cast("double") / F.col("txns")
     return base.select(
         "amount_band",
@@ -122,8 +122,8 @@ def band_coverage(fact: DataFrame) -> DataFrame:
         "txns",
         r(money(F.col("_fraud")), 2).alias("fraud_value"),
         r(money(cum_loss), 2).alias("cum_fraud_value"),
-        r(percent(cum_loss, F.sum("_fraud").over(ALL)), 2).alias("cum_pct_of_loss"),
-        r(percent(cum_txns, F.sum("txns").over(ALL)), 2).alias("cum_pct_of_txns"),
+        r(percent(cum_loss, F.sum("_fraud").over(whole())), 2).alias("cum_pct_of_loss"),
+        r(percent(cum_txns, F.sum("txns").over(whole())), 2).alias("cum_pct_of_txns"),
     ).orderBy(F.desc("amount_band"))
 
 
@@ -133,7 +133,7 @@ def hourly_rate(fact: DataFrame) -> DataFrame:
         txns().alias("txns"), frauds().alias("fraud_txns"), fraud_cents().alias("_fraud")
     )
     own = F.col("fraud_txns").cast("double") / F.col("txns")
-    baseline = ratio(F.sum("fraud_txns").over(ALL), F.sum("txns").over(ALL))
+    baseline = ratio(F.sum("fraud_txns").over(whole()), F.sum("txns").over(whole()))
     return base.select(
         "txn_hour",
         "txns",

@@ -21,13 +21,13 @@ from txnrisk.functions.money import (
     value_cents,
 )
 from txnrisk.functions.rounding import round_half_even, round_half_up as r
+from txnrisk.functions.windows import whole
 from txnrisk.operators import measures as M
 from txnrisk.operators.ordered import prefix_sums
 from txnrisk.plans import portfolio
 from txnrisk.plans.portfolio import by_day, rate_pct
 from txnrisk.plans.star import Star
 
-ALL = W.partitionBy()  # only over rows already aggregated to a handful
 HASH_DIGITS = 5
 
 
@@ -269,8 +269,8 @@ def headline_shares(types: DataFrame, class_means: DataFrame) -> DataFrame:
     top = F.row_number().over(W.orderBy(F.desc("loss_value"), "fraud_type")) == 1  # a few rows
     return types.crossJoin(F.broadcast(class_means.select("ratio_of_means"))).select(
         "fraud_type",
-        round_half_even(percent(loss, F.sum(loss).over(ALL)), 1).alias("share_of_loss_pct"),
-        percent(F.col("incidents"), F.sum("incidents").over(ALL)).alias("share_of_incidents_pct"),
+        round_half_even(percent(loss, F.sum(loss).over(whole())), 1).alias("share_of_loss_pct"),
+        percent(F.col("incidents"), F.sum("incidents").over(whole())).alias("share_of_incidents_pct"),
         top.alias("is_top"),
         "ratio_of_means",
     )
@@ -287,7 +287,7 @@ def band_levels(bands: DataFrame, header: DataFrame, lowest: int = 3) -> DataFra
     place = F.row_number().over(W.orderBy("amount_band"))  # at most seven rows
     low = bands.withColumn("_place", place)
     lows = F.col("_place") <= lowest
-    low_txns = F.sum(F.when(lows, F.col("txns"))).over(ALL)
+    low_txns = F.sum(F.when(lows, F.col("txns"))).over(whole())
     flag = (
         F.when(own > base * 2, F.lit(RATE_FLAGS[0]))
         .when(own > base, F.lit(RATE_FLAGS[1]))
@@ -299,8 +299,8 @@ def band_levels(bands: DataFrame, header: DataFrame, lowest: int = 3) -> DataFra
         own.alias("fraud_rate_pct"),
         round_half_even(ratio(own, base), 1).alias("lift"),
         flag.alias("flag"),
-        percent(low_txns, F.sum("txns").over(ALL)).alias("lowest_bands_pct_of_txns"),
-        F.sum(F.when(lows, F.col("fraud_txns"))).over(ALL).alias("lowest_bands_fraud_txns"),
+        percent(low_txns, F.sum("txns").over(whole())).alias("lowest_bands_pct_of_txns"),
+        F.sum(F.when(lows, F.col("fraud_txns"))).over(whole()).alias("lowest_bands_fraud_txns"),
     )
 
 

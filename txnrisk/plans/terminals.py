@@ -18,8 +18,8 @@ from txnrisk.functions.money import (
     value_cents,
 )
 from txnrisk.functions.rounding import round_half_up as r
+from txnrisk.functions.windows import whole
 
-ALL = W.partitionBy()
 
 
 def worklist(dim_terminal: DataFrame, limit: int = 20) -> DataFrame:
@@ -96,7 +96,7 @@ def tier_queues(dim_terminal: DataFrame) -> DataFrame:
         "txns_covered",
         "fraud_txns",
         r(money(F.col("_loss")), 2).alias("fraud_volume"),
-        r(percent(F.col("_loss"), F.sum("_loss").over(ALL)), 2).alias("pct_of_loss"),
+        r(percent(F.col("_loss"), F.sum("_loss").over(whole())), 2).alias("pct_of_loss"),
     ).orderBy("risk_tier")
 
 
