@@ -10,6 +10,7 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+from pyspark.sql.types import DecimalType  # noqa: E402
 
 from oracle.sql import SIMPLE_MEASURES, THRESHOLD_MEASURES, build_sql  # noqa: E402
 from txnrisk import schema as S  # noqa: E402
@@ -20,7 +21,14 @@ from txnrisk.operators import significance as A  # noqa: E402
 from txnrisk.operators import thresholds as X  # noqa: E402
 from txnrisk.plans import customers, portfolio, slices, terminals, trend, triage  # noqa: E402
 from txnrisk.plans.report import statistical_results  # noqa: E402
-from txnrisk.plans.star import Star, enriched, publish, star_for  # noqa: E402
+from txnrisk.plans.star import (  # noqa: E402
+    Star,
+    clean_for,
+    enriched,
+    open_published,
+    publish,
+    star_for,
+)
 from txnrisk.sources import files, landing, sample_tables  # noqa: E402
 from txnrisk.sources.workspace import fresh_path  # noqa: E402
 from txnrisk.streaming.landing import land_stream  # noqa: E402
@@ -64,10 +72,8 @@ def order_star(spark: SparkSession, folder: str) -> Star:
 
 def shown(df: DataFrame) -> DataFrame:
     """Money as double at the edge."""
-    kinds = dict(df.dtypes)
-    return df.select(
-        *[F.col(c).cast("double").alias(c) if kinds[c].startswith("decimal") else c for c in df.columns]
-    )
+    exact = [f.name for f in df.schema if isinstance(f.dataType, DecimalType)]
+    return df.withColumns({c: F.col(c).cast("double") for c in exact}) if exact else df
 
 
 def digits(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -98,6 +104,16 @@ def on_clean(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return on_raw(run)
 
 
+def on_staged(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    """Running columns look at their rows twice, so they start from the staged clean table."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = clean_for(sample_tables.events_as_raw, spark, folder)
+        return shown(build(rows).select("transaction_id", *columns))
+
+    return run
+
+
 def typed(raw: DataFrame) -> DataFrame:
     return quality.typed(quality.rename_and_prune(raw))
 
@@ -121,20 +137,20 @@ def _cleaning() -> dict[str, Query]:
         "t06_date_key_hour": on_clean(features.time_features, "date_key", "txn_hour"),
         "t07_part_of_day": on_clean(features.time_features, "txn_hour", "part_of_day"),
         "t08_amount_band": on_clean(features.amount_bands, "amount", "amount_band"),
-        "t09_customer_sequence": on_clean(features.customer_history, "customer_id", "cust_txn_seq"),
-        "t10_minutes_since_previous": on_clean(
+        "t09_customer_sequence": on_staged(features.customer_history, "customer_id", "cust_txn_seq"),
+        "t10_minutes_since_previous": on_staged(
             features.customer_history, "customer_id", "mins_since_prev_txn"
         ),
-        "t11_expanding_mean": on_clean(
+        "t11_expanding_mean": on_staged(
             features.customer_history, "customer_id", "cust_avg_amount_todate"
         ),
-        "t12_ratio_to_baseline": on_clean(
+        "t12_ratio_to_baseline": on_staged(
             features.customer_history, "customer_id", "amount_vs_cust_avg"
         ),
-        "t13_terminal_sequence": on_clean(
+        "t13_terminal_sequence": on_staged(
             features.terminal_sequence, "terminal_id", "terminal_txn_seq"
         ),
-        "t13_terminal_sequence_by_time": on_clean(
+        "t13_terminal_sequence_by_time": on_staged(
             lambda rows: features.terminal_sequence(rows, order="time"),
             "terminal_id",
             "terminal_txn_seq",
@@ -214,7 +230,7 @@ def _round_trips() -> dict[str, Query]:
         location = fresh_path(spark, "warehouse")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{location}'")
         publish(star_of(spark, folder), name)
-        return shown(spark.table(f"{name}.fact_transactions").select(S.FACT.fieldNames()))
+        return shown(open_published(spark, name).fact)
 
     def star_sizes(spark, folder):
         counts = [

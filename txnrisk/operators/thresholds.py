@@ -54,7 +54,11 @@ def sweep_totals(
     buckets = fact.groupBy(*by, _bucket(thresholds).alias("_bucket")).agg(
         txns().alias("_n"), frauds().alias("_bad"), fraud_cents_or_zero().alias("_loss")
     )
-    steps = F.array(*[F.lit(t) for t in thresholds])
+    if isinstance(thresholds, range):
+        start, last, step = thresholds.start, thresholds[-1], thresholds.step
+        steps = F.sequence(F.lit(start), F.lit(last), F.lit(step))
+    else:
+        steps = F.array(*[F.lit(t) for t in thresholds])
     spread = buckets.select("*", F.posexplode(steps).alias("_step", "threshold"))
     reached = F.col("_step") <= F.col("_bucket")
 

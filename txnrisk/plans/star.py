@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from txnrisk import schema as S
 from txnrisk.operators import dims, quality
@@ -14,6 +14,7 @@ from txnrisk.sources import files
 from txnrisk.sources.workspace import fresh_path
 
 VIEW = "vw_txn_enriched"
+CLEAN = T.StructType([S.FACT[c] for c in quality.CLEAN_COLUMNS])
 
 
 @dataclass(frozen=True)
@@ -30,14 +31,17 @@ class Star:
         )
 
 
-def build_star(
-    raw: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
+def stage_clean(raw: DataFrame, folder: str) -> DataFrame:
+    """Cleaned rows as a written table: the feature windows read them more than once."""
+    files.write_parquet(quality.clean(raw), folder)
+    return raw.sparkSession.read.schema(CLEAN).parquet(folder)
+
+
+def build_from_clean(
+    rows: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
 ) -> Star:
-    """Clean, add features, write the fact once, and derive every dimension from what was written."""
-    spark = raw.sparkSession
-    staged = f"{folder}/clean"
-    files.write_parquet(quality.clean(raw), staged)
-    rows = spark.read.parquet(staged)
+    """Add features, write the fact once, and derive every dimension from what was written."""
+    spark = rows.sparkSession
     target = f"{folder}/fact_transactions"
     files.write_fact(build_fact(rows, heavy_above=heavy_above), target, daily_folders=daily_folders)
     fact = files.read_fact(spark, target)
@@ -51,6 +55,14 @@ def build_star(
     return open_star(spark, folder)
 
 
+def build_star(
+    raw: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
+) -> Star:
+    """Raw transactions to a written star schema."""
+    rows = stage_clean(raw, f"{folder}/clean")
+    return build_from_clean(rows, folder, heavy_above, daily_folders)
+
+
 def open_star(spark: SparkSession, folder: str) -> Star:
     parents = [n for n in S.TABLES if n != "fact_transactions"]
     return Star(
@@ -59,15 +71,32 @@ def open_star(spark: SparkSession, folder: str) -> Star:
     )
 
 
-def publish(star: Star, database: str = "default") -> None:
-    """Save the star as catalog tables with column statistics for the optimizer."""
+def publish(star: Star, database: str = "default", customer_buckets: int = 0) -> None:
+    """Save the star as catalog tables with column statistics for the optimizer.
+
+    ``customer_buckets`` lays fact and customers out by customer instead of by day, so that joins
+    and groupings on the customer need no shuffle when both tables are too large to broadcast.
+    """
+    spark = star.fact.sparkSession
     for name, df in star.tables().items():
         target = f"{database}.{name}"
         writer = df.write.mode("overwrite").format("parquet")
-        if name == "fact_transactions":
+        if customer_buckets and "customer_id" in df.columns:
+            # one file per bucket: rows arrive already hashed the way the buckets are
+            df = df.repartition(customer_buckets, "customer_id")
+            writer = df.write.mode("overwrite").format("parquet")
+            writer = writer.bucketBy(customer_buckets, "customer_id").sortBy("customer_id")
+        elif name == "fact_transactions":
             writer = writer.partitionBy("date_key")
         writer.saveAsTable(target)
-        df.sparkSession.sql(f"ANALYZE TABLE {target} COMPUTE STATISTICS FOR ALL COLUMNS")
+        spark.sql(f"ANALYZE TABLE {target} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+def open_published(spark: SparkSession, database: str = "default") -> Star:
+    """The star from its catalog tables."""
+    return Star(
+        *[spark.table(f"{database}.{n}").select(S.TABLES[n].fieldNames()) for n in S.TABLES]
+    )
 
 
 def enriched(star: Star) -> DataFrame:
@@ -115,14 +144,26 @@ def register_view(star: Star) -> DataFrame:
     return view
 
 
-_opened: dict[tuple[str, str, str], str] = {}
+_staged: dict[tuple, DataFrame] = {}
+_opened: dict[tuple, Star] = {}
+
+
+def clean_for(raw_reader, spark: SparkSession, source: str) -> DataFrame:
+    """Cleaned rows of a source, staged once per application in the shared folder."""
+    key = (spark.sparkContext.applicationId, raw_reader.__name__, source)
+    if key not in _staged:
+        _staged[key] = stage_clean(raw_reader(spark, source), fresh_path(spark, "clean"))
+    return _staged[key]
 
 
 def star_for(raw_reader, spark: SparkSession, source: str, daily_folders: bool = True) -> Star:
-    """The star of a source, built once per application in the shared folder and read from there."""
+    """The star of a source, built once per application in the shared folder and read from there.
+
+    The written tables never change, so the opened frames (and their file listings) are kept.
+    """
     key = (spark.sparkContext.applicationId, raw_reader.__name__, source)
     if key not in _opened:
+        rows = clean_for(raw_reader, spark, source)
         folder = fresh_path(spark, "star")
-        build_star(raw_reader(spark, source), folder, daily_folders=daily_folders)
-        _opened[key] = folder
-    return open_star(spark, _opened[key])
+        _opened[key] = build_from_clean(rows, folder, daily_folders=daily_folders)
+    return _opened[key]
