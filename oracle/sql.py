@@ -422,6 +422,22 @@ def _questions(q: dict[str, str]) -> None:
     )
 
 
+NORMALITY = """legit AS (SELECT n, CAST(n AS DOUBLE) AS c, m3 / power(m2, 1.5) AS g1, m4 / (m2 * m2) AS b2
+                 FROM moments WHERE is_fraud = 0),
+  skew1 AS (SELECT *, g1 * sqrt((c + 1) * (c + 3) / (6 * (c - 2))) AS y,
+                   sqrt(2 * (3 * (c * c + 27 * c - 70) * (c + 1) * (c + 3)
+                     / ((c - 2) * (c + 5) * (c + 7) * (c + 9)) - 1)) - 1 AS w2 FROM legit),
+  skew2 AS (SELECT *, ln(y / sqrt(2 / (w2 - 1)) + sqrt(power(y / sqrt(2 / (w2 - 1)), 2) + 1))
+                      / sqrt(0.5 * ln(w2)) AS zs FROM skew1),
+  kurt1 AS (SELECT *, (b2 - 3 * (c - 1) / (c + 1))
+              / sqrt(24 * c * (c - 2) * (c - 3) / (power(c + 1, 2) * (c + 3) * (c + 5))) AS x,
+            6 * (c * c - 5 * c + 2) / ((c + 7) * (c + 9))
+              * sqrt(6 * (c + 3) * (c + 5) / (c * (c - 2) * (c - 3))) AS sb FROM skew2),
+  kurt2 AS (SELECT *, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS a FROM kurt1),
+  z AS (SELECT n, zs, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))))
+                      / sqrt(2 / (9 * a)) AS zk FROM kurt2)"""
+
+
 def _significance(q: dict[str, str]) -> None:
     t = with_tables
     q["a01_class_summary"] = t(
@@ -443,25 +459,19 @@ def _significance(q: dict[str, str]) -> None:
     q["a02_skewness"] = t(
         "SELECT is_fraud, round(m3 / power(m2, 1.5), 6) AS skew FROM moments", upto="fact", extra=moments
     )
-    q["a03_normality"] = t(
-        "SELECT n, round(zs * zs + zk * zk, 3) AS k2, round(exp(-(zs * zs + zk * zk) / 2), 9) AS p_value FROM z",
-        upto="fact",
-        extra=moments
-        + """, legit AS (SELECT n, CAST(n AS DOUBLE) AS c, m3 / power(m2, 1.5) AS g1, m4 / (m2 * m2) AS b2
-                       FROM moments WHERE is_fraud = 0),
-        skew1 AS (SELECT *, g1 * sqrt((c + 1) * (c + 3) / (6 * (c - 2))) AS y,
-                         sqrt(2 * (3 * (c * c + 27 * c - 70) * (c + 1) * (c + 3)
-                           / ((c - 2) * (c + 5) * (c + 7) * (c + 9)) - 1)) - 1 AS w2 FROM legit),
-        skew2 AS (SELECT *, ln(y / sqrt(2 / (w2 - 1)) + sqrt(power(y / sqrt(2 / (w2 - 1)), 2) + 1))
-                            / sqrt(0.5 * ln(w2)) AS zs FROM skew1),
-        kurt1 AS (SELECT *, (b2 - 3 * (c - 1) / (c + 1))
-                    / sqrt(24 * c * (c - 2) * (c - 3) / (power(c + 1, 2) * (c + 3) * (c + 5))) AS x,
-                  6 * (c * c - 5 * c + 2) / ((c + 7) * (c + 9))
-                    * sqrt(6 * (c + 3) * (c + 5) / (c * (c - 2) * (c - 3))) AS sb FROM skew2),
-        kurt2 AS (SELECT *, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS a FROM kurt1),
-        z AS (SELECT n, zs, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))))
-                            / sqrt(2 / (9 * a)) AS zk FROM kurt2)""",
-    )
+    k2 = "SELECT n, round(zs * zs + zk * zk, 3) AS k2, round(exp(-(zs * zs + zk * zk) / 2), 9) AS p_value FROM z"
+    q["a03_normality"] = t(k2, upto="fact", extra=moments + ", " + NORMALITY)
+    # about 5,000 draws: a row is taken once per Poisson bound its hash reaches
+    drawn = f"""mean AS (SELECT {S.NORMALITY_DRAWS}e0 / count(*) AS m FROM fact WHERE is_fraud = 0),
+        bounds AS (SELECT sum(exp(-m) * power(m, k) / gamma(k + 1)) OVER (ORDER BY k) AS bound
+                   FROM mean, range(0, 120) AS r(k)),
+        hashed AS (SELECT CAST(amount AS DOUBLE) AS x,
+                          CAST(CAST('0x' || substr(md5('{S.SEED}-' || CAST(transaction_id AS VARCHAR)), 1, 13) AS BIGINT)
+                            AS DOUBLE) / power(16e0, 13) AS u FROM fact WHERE is_fraud = 0),
+        drawn AS (SELECT x FROM hashed JOIN bounds ON bound <= u),
+        moments AS (SELECT 0 AS is_fraud, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3,
+                           avg(power(x - mu, 4)) AS m4 FROM (SELECT x, avg(x) OVER () AS mu FROM drawn))"""
+    q["a03_normality_sampled"] = t(k2, upto="fact", extra=drawn + ", " + NORMALITY)
     ranks = """ranked AS (
         SELECT is_fraud, rank() OVER (ORDER BY amount)
                + (count(*) OVER (PARTITION BY amount) - 1) / 2e0 AS mid_rank FROM fact),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from txnrisk import schema as S
 from txnrisk.functions import dates, labels
 from txnrisk.functions.money import cents, fraud_cents, frauds, money, txns, value_cents
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.operators.ordered import quantiles
 from txnrisk.sources.workspace import checkpointed
@@ -72,7 +73,7 @@ def spend_segments(customers: DataFrame, approximate: bool = False) -> DataFrame
     else:
         edges = quantiles(customers, "total_spend", QUARTILES)
     ends = customers.agg(F.min("total_spend").alias("q0"), F.max("total_spend").alias("q4"))
-    cut = edges.crossJoin(ends)
+    cut = with_row(edges, ends)
     spend = F.col("total_spend")
     repeated = (
         (F.col("q0") >= F.col("q1"))
@@ -88,7 +89,7 @@ def spend_segments(customers: DataFrame, approximate: bool = False) -> DataFrame
         .when(spend <= F.col("q3"), F.lit(high))
         .otherwise(F.lit(top))
     )
-    return customers.crossJoin(F.broadcast(cut)).select(
+    return with_row(customers, cut).select(
         *customers.columns, segment.alias("value_segment")
     )
 

@@ -24,6 +24,7 @@ from txnrisk.functions.money import (
     txns,
     value_cents,
 )
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up
 from txnrisk.operators.ordered import prefix_sums
 from txnrisk.operators.thresholds import Costs, net_benefit, sweep_totals
@@ -225,7 +226,7 @@ def _joined(
 ) -> DataFrame:
     """Join of two results with one row per group; groups with a null label match each other."""
     if not by:
-        return left.crossJoin(F.broadcast(right))  # one row
+        return with_row(left, right)
     other = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by])
     return left.join(other, same, how).drop(*[f"_r_{c}" for c in by])

@@ -6,18 +6,21 @@ ordering of those values is sliced, so nothing depends on how often one value oc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.money import cents, frauds, money, ratio, txns
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.functions.windows import whole
 from txnrisk.functions.tails import chi_square_p, two_sided_normal_p
 from txnrisk.operators.ordered import prefix_sums, values_at
 
 WIDE = "decimal(38,0)"
+HASH_DIGITS = 13  # 52 bits, exact in a double
 
 
 def _placed_values(fact: DataFrame, value: str, flag: str) -> DataFrame:
@@ -86,10 +89,15 @@ def normality(
     With ``draws`` the moments come from about that many seeded draws with replacement, without it
     from every row. The p-value is the chi-square tail for two degrees of freedom.
     """
-    legit = fact.where(F.col(flag) == 0).select(F.col(value).cast("double").alias("_x"))
-    if draws is not None:
-        legit = legit.sample(True, draws / max(legit.count(), 1), seed)
-    moments = legit.agg(
+    legit = fact.where(F.col(flag) == 0)
+    number = F.col(value).cast("double").alias("_x")
+    if draws is None:
+        chosen = legit.select(number)
+    else:
+        mean = draws / max(legit.count(), 1)
+        copies = _copies(F.col("transaction_id"), mean, seed)
+        chosen = legit.select(F.explode(F.array_repeat(number, copies)).alias("_x"))
+    moments = chosen.agg(
         F.count("_x").cast("double").alias("n"),
         F.skewness("_x").alias("skew"),
         (F.kurtosis("_x") + 3.0).alias("kurt"),
@@ -103,6 +111,22 @@ def normality(
     )
 
 
+def _copies(key: Column, mean: float, seed: int) -> Column:
+    """How often a row is drawn with replacement: a Poisson count from the row's own seeded hash.
+
+    The draw depends on the key alone, so it is the same for any file layout and any retry.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), 1, HASH_DIGITS)
+    uniform = F.conv(digits, 16, 10).cast("double") / F.lit(float(16**HASH_DIGITS))
+    steps, term, total = [], math.exp(-mean), 0.0
+    for k in range(1, int(mean + 12 * math.sqrt(mean) + 25)):
+        total += term
+        steps.append(total)
+        term *= mean / k
+    bounds = F.array(*[F.lit(x) for x in steps])
+    return F.size(F.filter(bounds, lambda bound: bound <= uniform))
+
+
 def _skew_score() -> Column:
     """Normal score of the sample skewness (D'Agostino 1970)."""
     n, b = F.col("n"), F.col("skew")
@@ -239,7 +263,7 @@ def association_strength(
     for other in rest:
         every = every.unionByName(other)
     base = first.select(F.col("cramers_v").alias("_base"))
-    return every.crossJoin(F.broadcast(base)).select(
+    return with_row(every, base).select(
         "dimension",
         "chi2",
         "cramers_v",

@@ -21,6 +21,7 @@ from txnrisk.functions.money import (
     ratio_or_zero,
     txns,
 )
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even, round_half_up
 
 NO_THRESHOLD = -1
@@ -186,7 +187,7 @@ def sensitivity_pivot(
 def _missed(fact: DataFrame, best: DataFrame) -> DataFrame:
     cut = best.select(F.col("optimal_threshold").alias("threshold"))
     bad = fact.where(F.col("is_fraud") == 1).select("fraud_type", "amount", "amount_vs_cust_avg")
-    return bad.crossJoin(F.broadcast(cut))  # one row
+    return with_row(bad, cut)
 
 
 def blind_spot(fact: DataFrame, best: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def recost(
         costs.decline
     )
     all_frauds = F.col("_all_frauds")
-    return sweep.crossJoin(F.broadcast(total_frauds.toDF("_all_frauds"))).select(
+    return with_row(sweep, total_frauds.toDF("_all_frauds")).select(
         *sweep.columns,
         (all_frauds - F.col("frauds_caught")).alias("frauds_missed"),
         operating.alias("op_cost_live"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from txnrisk import schema as S
 from txnrisk.functions import labels
 from txnrisk.functions.money import cents_of_double, frauds, money, percent, txns
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up as r
 from txnrisk.operators.ordered import ntile, position
 from txnrisk.plans.portfolio import rate_pct
@@ -63,7 +64,7 @@ def repeat_victims(dim_customer: DataFrame) -> DataFrame:
     )
     everyone = victims.agg(txns().alias("_victims"))
     return (
-        base.crossJoin(F.broadcast(everyone))
+        with_row(base, everyone)
         .select(
             F.col("fraud_txns").alias("times_defrauded"),
             "customers",

@@ -18,6 +18,7 @@ from txnrisk.functions.money import (
     txns,
     value_cents,
 )
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up as r
 from txnrisk.functions.windows import whole
 
@@ -195,7 +196,7 @@ def headline(fact: DataFrame, dim_terminal: DataFrame, dim_customer: DataFrame)
     )
     risky = dim_terminal.agg(F.count_if(F.col("risk_tier").isin(*S.RISK_TIERS[:2])).alias("risky"))
     hit = dim_customer.agg(F.count_if(F.col("fraud_txns") > 0).alias("hit"))
-    row = base.crossJoin(F.broadcast(risky)).crossJoin(F.broadcast(hit))
+    row = with_row(with_row(base, risky), hit)
     n, bad, value, loss = (F.col(c) for c in ("n", "bad", "value", "loss"))
     texts = (
         F.format_string("%,d", n),

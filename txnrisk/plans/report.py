@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from txnrisk.functions.one_row import with_row
 from txnrisk.operators import significance as A, thresholds as X
 from txnrisk.sources.workspace import checkpointed
 
@@ -25,20 +26,21 @@ def statistical_results(fact: DataFrame) -> DataFrame:
     best = checkpointed(X.optimum(X.threshold_sweep(fact)))  # one row, used three times
     grid = checkpointed(X.sensitivity(fact))  # nine rows
     parts = [
-        _nested(A.class_summary(fact).crossJoin(A.mann_whitney(fact)), "test1_amount"),
+        _nested(with_row(A.class_summary(fact), A.mann_whitney(fact)), "test1_amount"),
         _nested(A.chi_square(fact, "part_of_day"), "test2_timing"),
         _nested(A.chi_square(fact, "amount_band"), "test3_amount_band"),
         _nested(A.wilson_interval(fact), "test4_fraud_rate_ci"),
         _nested(best, "test5_threshold"),
         _nested(
-            X.stability(grid).crossJoin(_listed(grid, "scenarios", "review_cost")),
+            with_row(X.stability(grid), _listed(grid, "scenarios", "review_cost")),
             "test6_sensitivity",
         ),
         _nested(
-            X.blind_spot(fact, best).crossJoin(
-                _listed(X.blind_spot_by_type(fact, best), "by_type", "fraud_type")
+            with_row(
+                X.blind_spot(fact, best),
+                _listed(X.blind_spot_by_type(fact, best), "by_type", "fraud_type"),
             ),
             "test7_blind_spot",
         ),
     ]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+    return reduce(with_row, parts)

@@ -20,13 +20,14 @@ from txnrisk.functions.money import (
     txns,
     value_cents,
 )
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even, round_half_up as r
 from txnrisk.functions.windows import whole
 from txnrisk.operators import measures as M
 from txnrisk.operators.ordered import prefix_sums
 from txnrisk.plans import portfolio
 from txnrisk.plans.portfolio import by_day, rate_pct
-from txnrisk.plans.star import Star
+from txnrisk.plans.star import Star, enriched
 
 HASH_DIGITS = 5
 
@@ -158,38 +159,30 @@ def threshold_view(sweep: DataFrame, low: int = 100, high: int = 400) -> DataFra
     return sweep.where(F.col("threshold").between(low, high))
 
 
-def stratified_extract(view: DataFrame, limit: int = 40_000, seed: int = S.SEED) -> DataFrame:
-    """R9. All fraud and exactly ``limit`` legitimate rows, reproducible, in time order.
+def stratified_extract(star: Star, limit: int = 40_000, seed: int = S.SEED) -> DataFrame:
+    """R9. All fraud and exactly ``limit`` legitimate rows of the enriched view, in time order.
 
-    Legitimate rows are drawn by the smallest seeded hash. A histogram over the leading hash digits
-    (a fixed number of cells) finds where the draw ends, so the final ordering handles little more
-    than ``limit`` rows instead of ``limit`` rows from every task.
+    Legitimate rows are drawn by the smallest seeded hash, so a draw can be repeated. A histogram
+    over the leading hash digits (a fixed number of cells) finds where the draw ends, so the final
+    ordering handles little more than ``limit`` rows instead of ``limit`` rows from every task.
+    The dimensions are joined to the drawn rows only.
     """
-    drawn = F.md5(F.concat(F.lit(str(seed)), F.lit("-"), F.col("transaction_id").cast("string")))
-    legit = view.where(F.col("is_fraud") == 0).withColumn("_hash", drawn)
+    drawn = F.md5(F.concat(F.lit(f"{seed}-"), F.col("transaction_id").cast("string")))
+    legit = star.fact.where(F.col("is_fraud") == 0).withColumn("_hash", drawn)
     cell = F.substring("_hash", 1, HASH_DIGITS)
+    upto = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)  # at most 16**HASH_DIGITS cells
     cells = legit.groupBy(cell.alias("_cell")).agg(txns().alias("_n"))
-    upto = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    end = (
-        cells.withColumn("_cum", F.sum("_n").over(upto))
-        .agg(
-            F.coalesce(
-                F.min(F.when(F.col("_cum") >= limit, F.col("_cell"))), F.max("_cell")
-            ).alias("_end")
-        )
+    end = cells.withColumn("_cum", F.sum("_n").over(upto)).agg(
+        F.coalesce(F.min(F.when(F.col("_cum") >= limit, F.col("_cell"))), F.max("_cell"))
     )
     chosen = (
-        legit.crossJoin(F.broadcast(end))
-        .where(cell <= F.col("_end"))
+        legit.where(cell <= end.scalar())
         .orderBy("_hash", "transaction_id")
         .limit(limit)
-        .select(view.columns)
-    )
-    return (
-        view.where(F.col("is_fraud") == 1)
-        .unionByName(chosen)
-        .orderBy("txn_datetime", "transaction_id")
+        .select(star.fact.columns)
     )
+    rows = star.fact.where(F.col("is_fraud") == 1).unionByName(chosen)
+    return enriched(star, rows).orderBy("txn_datetime", "transaction_id")
 
 
 def heat_slice(fact: DataFrame) -> DataFrame:
@@ -267,7 +260,7 @@ def headline_shares(types: DataFrame, class_means: DataFrame) -> DataFrame:
     """R14. Share of loss and of incidents per typology, the top one marked, with the mean ratio."""
     loss = cents_of_double("loss_value")
     top = F.row_number().over(W.orderBy(F.desc("loss_value"), "fraud_type")) == 1  # a few rows
-    return types.crossJoin(F.broadcast(class_means.select("ratio_of_means"))).select(
+    return with_row(types, class_means.select("ratio_of_means")).select(
         "fraud_type",
         round_half_even(percent(loss, F.sum(loss).over(whole())), 1).alias("share_of_loss_pct"),
         percent(F.col("incidents"), F.sum("incidents").over(whole())).alias("share_of_incidents_pct"),
@@ -294,7 +287,7 @@ def band_levels(bands: DataFrame, header: DataFrame, lowest: int = 3) -> DataFra
         .otherwise(F.lit(RATE_FLAGS[2]))
     )
     one = header.select(F.col("fraud_rate_pct").alias("_rate"))
-    return low.crossJoin(F.broadcast(one)).select(
+    return with_row(low, one).select(
         "amount_band",
         own.alias("fraud_rate_pct"),
         round_half_even(ratio(own, base), 1).alias("lift"),

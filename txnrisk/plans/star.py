@@ -99,8 +99,8 @@ def open_published(spark: SparkSession, database: str = "default") -> Star:
     )
 
 
-def enriched(star: Star) -> DataFrame:
-    """Eighteen columns over fact and three dimensions.
+def enriched(star: Star, rows: DataFrame | None = None) -> DataFrame:
+    """Eighteen columns over fact (or some of its rows) and three dimensions.
 
     No broadcast hints: the dimensions are written tables, so Catalyst knows their size and
     broadcasts what is under the session's threshold; a larger one becomes a sort-merge join whose
@@ -112,7 +112,8 @@ def enriched(star: Star) -> DataFrame:
         "terminal_id", star.terminal["risk_tier"].alias("terminal_risk_tier")
     )
     return (
-        star.fact.join(days, "date_key")
+        (star.fact if rows is None else rows)
+        .join(days, "date_key")
         .join(customers, "customer_id")
         .join(terminals, "terminal_id")
         .select(

@@ -17,6 +17,7 @@ from txnrisk.functions.money import (
     txns,
     value_cents,
 )
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up as r
 from txnrisk.functions.windows import whole
 
@@ -70,8 +71,7 @@ def concentration(
         F.sum(cents_of_double("fraud_volume")).over(running).alias("_cum"),
     )
     return (
-        placed.where(F.col("rn").isin(*ranks))
-        .crossJoin(F.broadcast(totals))
+        with_row(placed.where(F.col("rn").isin(*ranks)), totals)
         .select(
             F.col("rn").alias("terminals_reviewed"),
             r(percent(F.col("rn"), F.col("_terminals")), 2).alias("pct_of_all_terminals"),

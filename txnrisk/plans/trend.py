@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from txnrisk.functions.dates import key_to_date
 from txnrisk.functions.money import money, percent, ratio
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up as r
 from txnrisk.plans.portfolio import by_day, rate_pct
 
@@ -70,7 +71,7 @@ def alert_days(fact: DataFrame, k_sigma: float = 2) -> DataFrame:
     ).select("mu", F.sqrt(F.col("_square") - F.col("mu") * F.col("mu")).alias("sigma"))
     limit = F.col("mu") + F.lit(float(k_sigma)) * F.col("sigma")
     return (
-        days.crossJoin(F.broadcast(moments))
+        with_row(days, moments)
         .where(F.col("_loss") > limit)
         .select(
             "txn_date",
