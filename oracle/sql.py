@@ -131,6 +131,18 @@ def build_sql() -> dict[str, str]:
     _measures(q)
     _slices(q)
     q["s11_slice_reader"] = q["r04_daily"]
+    q["s06_json_results"] = t(
+        f"""SELECT (SELECT u FROM u) AS u_statistic,
+                   (SELECT round(chi2, 6) FROM chi) AS chi2_timing, (SELECT round(chi2, 6) FROM chi_b) AS chi2_band,
+                   (SELECT {BAD} FROM fact) AS successes,
+                   (SELECT threshold FROM best) AS optimal_threshold, (SELECT net_benefit FROM best) AS net_benefit,
+                   (SELECT count(*) FROM grid) AS scenarios,
+                   (SELECT max(optimal_threshold) - min(optimal_threshold) <= 40 FROM grid) AS stable,
+                   count(*) AS frauds_missed, count(DISTINCT fraud_type) AS types_missed
+            FROM fact WHERE is_fraud = 1 AND amount < (SELECT threshold FROM best)""",
+        upto="fact",
+        extra=", ".join([RANKS, _chi("part_of_day"), _chi("amount_band", "_b"), SWEEP, BEST, GRID]),
+    )
     return q
 
 
@@ -422,6 +434,12 @@ def _questions(q: dict[str, str]) -> None:
     )
 
 
+RANKS = """ranked AS (
+        SELECT is_fraud, rank() OVER (ORDER BY amount)
+               + (count(*) OVER (PARTITION BY amount) - 1) / 2e0 AS mid_rank FROM fact),
+      u AS (SELECT sum(mid_rank) FILTER (WHERE is_fraud = 1)
+                   - CAST(sum(is_fraud) AS DOUBLE) * (sum(is_fraud) + 1) / 2 AS u,
+                   CAST(sum(is_fraud) AS DOUBLE) AS n1, CAST(sum(1 - is_fraud) AS DOUBLE) AS n2 FROM ranked)"""
 NORMALITY = """legit AS (SELECT n, CAST(n AS DOUBLE) AS c, m3 / power(m2, 1.5) AS g1, m4 / (m2 * m2) AS b2
                  FROM moments WHERE is_fraud = 0),
   skew1 AS (SELECT *, g1 * sqrt((c + 1) * (c + 3) / (6 * (c - 2))) AS y,
@@ -472,13 +490,18 @@ def _significance(q: dict[str, str]) -> None:
         moments AS (SELECT 0 AS is_fraud, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3,
                            avg(power(x - mu, 4)) AS m4 FROM (SELECT x, avg(x) OVER () AS mu FROM drawn))"""
     q["a03_normality_sampled"] = t(k2, upto="fact", extra=drawn + ", " + NORMALITY)
-    ranks = """ranked AS (
-        SELECT is_fraud, rank() OVER (ORDER BY amount)
-               + (count(*) OVER (PARTITION BY amount) - 1) / 2e0 AS mid_rank FROM fact),
-      u AS (SELECT sum(mid_rank) FILTER (WHERE is_fraud = 1)
-                   - CAST(sum(is_fraud) AS DOUBLE) * (sum(is_fraud) + 1) / 2 AS u,
-                   CAST(sum(is_fraud) AS DOUBLE) AS n1, CAST(sum(1 - is_fraud) AS DOUBLE) AS n2 FROM ranked)"""
+    ranks = RANKS
     q["a04_mann_whitney"] = t("SELECT u AS u_statistic FROM u", upto="fact", extra=ranks)
+    q["a04_mann_whitney_p"] = t(
+        f"""SELECT u AS u_statistic, round(abs(1 - 2 * u / (n1 * n2)), 9) AS effect_size_rank_biserial,
+                   round(p, 9) AS p_value, p < 0.05 AS significant_at_5pct
+            FROM (SELECT *, {_upper_tail('0.5e0', 'z * z / 2')} AS p FROM scored)""",
+        upto="fact",
+        extra=ranks
+        + """, ties AS (SELECT sum(power(c, 3) - c) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM fact GROUP BY amount)),
+      scored AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5e0)
+                   / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, ties)""",
+    )
     q["a05_rank_biserial"] = t(
         "SELECT round(abs(1 - 2 * u / (n1 * n2)), 9) AS effect_size_rank_biserial FROM u", upto="fact", extra=ranks
     )
@@ -489,6 +512,13 @@ def _significance(q: dict[str, str]) -> None:
             upto="fact",
             extra=_chi(dim),
         )
+        q[f"a06_chi_square_{dim}_p"] = t(
+            f"""SELECT '{dim}' AS dimension, CAST(r - 1 AS INTEGER) AS dof, round(p, 9) AS p_value,
+                       p < 0.05 AS significant_at_5pct
+                FROM (SELECT r, {_upper_tail('(r - 1) / 2e0', 'chi2 / 2')} AS p FROM chi)""",
+            upto="fact",
+            extra=_chi(dim),
+        )
     v = "sqrt(chi2 / n)"  # two classes: min(r, c) - 1 is 1
     both = " UNION ALL ".join(
         f"""SELECT '{d}' AS dimension, round(chi2, 6) AS chi2, round({v}, 9) AS cramers_v,
@@ -521,6 +551,12 @@ def _significance(q: dict[str, str]) -> None:
         )
 
 
+def _upper_tail(a: str, x: str) -> str:
+    """Regularised upper incomplete gamma by the series of the lower one; nothing is left beyond 100."""
+    series = f"(SELECT sum(exp(({a} + k) * ln({x}) - lgamma({a} + k + 1) - ({x}))) FROM range(0, 1000) AS g(k))"
+    return f"CASE WHEN {x} > 100 THEN 0e0 WHEN {x} <= 0 THEN 1e0 ELSE 1 - {series} END"
+
+
 def _chi(dim: str, tag: str = "") -> str:
     return f"""cells{tag} AS (
           SELECT {dim} AS lab, k AS flag, count(*) FILTER (WHERE is_fraud = k) AS seen
