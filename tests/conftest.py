@@ -69,13 +69,13 @@ def star(spark, many, tmp_path_factory):
     from txnrisk.operators import dims
     from txnrisk.operators.features import build_fact
     from txnrisk.plans.star import Star
-    from txnrisk.sources.workspace import checkpointed
+    from txnrisk.sources.workspace import settled
 
-    fact = checkpointed(build_fact(many))
+    fact = settled(build_fact(many))
     return Star(
         fact,
         dims.build_dim_date(fact),
-        checkpointed(dims.build_dim_customer(fact)),
-        checkpointed(dims.build_dim_terminal(fact)),
+        settled(dims.build_dim_customer(fact)),
+        settled(dims.build_dim_terminal(fact)),
         dims.build_dim_amount_band(fact),
     )

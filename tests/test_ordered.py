@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.operators import running
 from txnrisk.operators.ordered import ntile, position, prefix_sums, quantiles
-from txnrisk.operators.running import running_columns
+from txnrisk.operators.running import heavy_keys, running_columns
 
 
 @pytest.fixture(scope="module")
@@ -74,9 +74,13 @@ def test_heavy_keys_give_the_same_running_columns(spark, ties, coalesce):
     before = spark.conf.get(setting)
     spark.conf.set(setting, coalesce)
     try:
-        plain = running_columns(keyed, "k", ["v", "id"], columns)
+        none = heavy_keys(keyed, "k")
+        assert none.count == 0
+        plain = running_columns(keyed, "k", ["v", "id"], columns, none)
         for limit in (0, 70, 250):
-            split = running_columns(keyed, "k", ["v", "id"], columns, heavy_above=limit)
+            heavy = heavy_keys(keyed, "k", limit)
+            assert heavy.count > 0
+            split = running_columns(keyed, "k", ["v", "id"], columns, heavy)
             assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     finally:
         spark.conf.set(setting, before)

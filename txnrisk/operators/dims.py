@@ -10,7 +10,7 @@ from txnrisk.functions.money import cents, fraud_cents, frauds, money, txns, val
 from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.operators.ordered import quantiles
-from txnrisk.sources.workspace import checkpointed
+from txnrisk.sources.workspace import settled
 
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
@@ -95,7 +95,7 @@ def spend_segments(customers: DataFrame, approximate: bool = False) -> DataFrame
 
 
 def build_dim_customer(fact: DataFrame, approximate: bool = False) -> DataFrame:
-    totals = checkpointed(customer_totals(fact))  # used for the edges and for the rows
+    totals = settled(customer_totals(fact))  # used for the edges and for the rows
     hit = F.when(F.col("fraud_txns") > 0, F.lit("Yes")).otherwise(F.lit("No"))
     return (
         spend_segments(totals, approximate)

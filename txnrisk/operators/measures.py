@@ -29,7 +29,7 @@ from txnrisk.functions.rounding import round_half_up
 from txnrisk.operators.ordered import prefix_sums
 from txnrisk.operators.thresholds import Costs, net_benefit, sweep_totals
 from txnrisk.plans.star import Star
-from txnrisk.sources.workspace import checkpointed
+from txnrisk.sources.workspace import settled
 
 Filters = Mapping[str, Sequence]
 
@@ -325,7 +325,7 @@ def terminal_pareto(star: Star, filters: Filters | None = None) -> DataFrame:
     )
     selected = _restricted(star.terminal, _only(filters, TERMINAL_COLUMNS)).select("terminal_id")
     # inner direction of the star: every selected terminal stays, with zero where it has no rows
-    rows = checkpointed(selected.join(losses, "terminal_id", "left").fillna(0, ["_loss"]))
+    rows = settled(selected.join(losses, "terminal_id", "left").fillna(0, ["_loss"]))
     values = rows.groupBy("_loss").agg(txns().alias("_peers"))
     own = F.col("_loss") * F.col("_peers")
     placed = prefix_sums(

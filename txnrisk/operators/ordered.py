@@ -1,8 +1,8 @@
 """Global order statistics without a single-task window.
 
-``prefix_sums`` range-partitions rows by the sort order, keeps the slices in a reliable
-checkpoint (so slice numbers cannot change between uses), totals each slice, and adds the totals
-of earlier slices to a window that only ever sees one slice. Range partitioning uses the whole
+``prefix_sums`` range-partitions rows by the sort order, writes the slices to the shared folder (so
+slice numbers cannot change between uses), totals each slice, and adds the totals of earlier
+slices to a window that only ever sees one slice. Range partitioning uses the whole
 sort key, so a value shared by a third of the rows is still split when a unique key ends the
 order.
 """
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from txnrisk.sources.workspace import checkpointed
+from txnrisk.sources.workspace import settled
 
 SLICE = "_slice"
 
@@ -24,9 +24,9 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
 
 
 def sliced(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Checkpointed rows in contiguous, numbered ranges of the sort order."""
+    """Written rows in contiguous, numbered ranges of the sort order."""
     ranged = df.repartitionByRange(*sort_columns(order))
-    return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
+    return settled(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
 def prefix_sums(

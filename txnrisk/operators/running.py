@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec, Window as W, functions as F
 
 from txnrisk.operators.ordered import SLICE, sliced, sort_columns
-from txnrisk.sources.workspace import checkpointed
+from txnrisk.sources.workspace import settled
 
 HEAVY_ABOVE = 5_000_000
 BROADCAST_KEYS = 1_000_000  # eight bytes each
@@ -64,22 +64,36 @@ def previous(value: Column) -> Running:
     )
 
 
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Keys with more rows than one task should hold; there are at most rows / limit of them."""
+
+    keys: DataFrame
+    count: int
+
+    def side(self) -> DataFrame:
+        """Broadcast behind a size check; beyond it a shuffled join, which splits skewed keys."""
+        return F.broadcast(self.keys) if self.count <= BROADCAST_KEYS else self.keys
+
+
+def heavy_keys(df: DataFrame, key: str, heavy_above: int = HEAVY_ABOVE) -> HeavyKeys:
+    """One narrow, map-side combined count. ``df`` should be a written table."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = settled(sizes.where(F.col("_n") > heavy_above).select(key))
+    return HeavyKeys(keys, keys.count())
+
+
 def running_columns(
     df: DataFrame,
     key: str,
     order: Sequence[str],
     columns: Mapping[str, Running],
-    heavy_above: int = HEAVY_ABOVE,
+    heavy: HeavyKeys,
 ) -> DataFrame:
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = checkpointed(sizes.where(F.col("_n") > heavy_above).select(key))
-    n_heavy = heavy.count()
-    if n_heavy == 0:
+    if heavy.count == 0:
         return _plain(df, key, order, columns)
-    if n_heavy <= BROADCAST_KEYS:
-        heavy = F.broadcast(heavy)
-    light_rows = df.join(heavy, key, "left_anti").select(df.columns)
-    heavy_rows = df.join(heavy, key, "left_semi").select(df.columns)
+    light_rows = df.join(heavy.side(), key, "left_anti").select(df.columns)
+    heavy_rows = df.join(heavy.side(), key, "left_semi").select(df.columns)
     return _plain(light_rows, key, order, columns).unionByName(
         _sliced(heavy_rows, key, order, columns)
     )

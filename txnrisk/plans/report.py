@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.functions.one_row import with_row
 from txnrisk.operators import significance as A, thresholds as X
-from txnrisk.sources.workspace import checkpointed
+from txnrisk.sources.workspace import settled
 
 
 def _nested(df: DataFrame, name: str) -> DataFrame:
@@ -23,8 +23,8 @@ def _listed(df: DataFrame, name: str, first: str) -> DataFrame:
 
 def statistical_results(fact: DataFrame) -> DataFrame:
     """One row: each test a struct. Every part is already down to a handful of rows."""
-    best = checkpointed(X.optimum(X.threshold_sweep(fact)))  # one row, used three times
-    grid = checkpointed(X.sensitivity(fact))  # nine rows
+    best = settled(X.optimum(X.threshold_sweep(fact)))  # one row, used three times
+    grid = settled(X.sensitivity(fact))  # nine rows
     parts = [
         _nested(with_row(A.class_summary(fact), A.mann_whitney(fact)), "test1_amount"),
         _nested(A.chi_square(fact, "part_of_day"), "test2_timing"),

@@ -26,7 +26,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/txnrisk/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    Cuts lineage like a checkpoint and survives lost executors; unlike one it is columnar, so later
+    steps read only the columns they need, and its size is known to the optimizer.
+    """
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
