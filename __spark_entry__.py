@@ -10,9 +10,9 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
-from pyspark.sql.types import DecimalType  # noqa: E402
+from pyspark.sql.types import DateType, DecimalType  # noqa: E402
 
-from oracle.sql import SIMPLE_MEASURES, THRESHOLD_MEASURES, build_sql  # noqa: E402
+from sqltwins.sql import SIMPLE_MEASURES, THRESHOLD_MEASURES, build_sql  # noqa: E402
 from txnrisk import schema as S  # noqa: E402
 from txnrisk.functions.rounding import round_half_up  # noqa: E402
 from txnrisk.operators import dims, features, quality  # noqa: E402
@@ -71,9 +71,10 @@ def order_star(spark: SparkSession, folder: str) -> Star:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Money as double at the edge."""
-    exact = [f.name for f in df.schema if isinstance(f.dataType, DecimalType)]
-    return df.withColumns({c: F.col(c).cast("double") for c in exact}) if exact else df
+    """Money as double and calendar days as ISO text at the edge."""
+    edge = {DecimalType: "double", DateType: "string"}
+    kinds = {f.name: edge[type(f.dataType)] for f in df.schema if type(f.dataType) in edge}
+    return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}) if kinds else df
 
 
 def digits(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -261,7 +262,7 @@ def _round_trips() -> dict[str, Query]:
         made = slices.daily_slice(star_of(spark, folder).fact)
         as_text = made.withColumn("txn_date", F.col("txn_date").cast("string"))
         files.write_csv(as_text, target)
-        return files.read_slice(spark, target, as_text.schema)
+        return shown(files.read_slice(spark, target, as_text.schema))
 
     return {
         "s01_daily_scan": daily_scan,
@@ -285,6 +286,10 @@ def _raw_columns(df: DataFrame) -> DataFrame:
 
 
 def _questions() -> dict[str, Query]:
+    def weekly(star, split_years=False):
+        moved = trend.weekly_movement(star.fact, star.date, split_years)
+        return moved.withColumn("prev_week_fraud", F.col("prev_week_fraud").cast("double"))
+
     return {
         "q01_portfolio_totals": on_fact(portfolio.totals),
         "q02_class_profile": on_fact(portfolio.class_profile),
@@ -302,11 +307,9 @@ def _questions() -> dict[str, Query]:
         "q14_repeat_victims": on_star(lambda s: customers.repeat_victims(s.customer)),
         "q15_velocity": on_fact(customers.velocity),
         "q16_daily_trend": on_fact(trend.daily_trend),
-        "q17_weekly_movement": on_star(lambda s: trend.weekly_movement(s.fact, s.date)),
-        "q17_weekly_movement_orders": on_orders(lambda s: trend.weekly_movement(s.fact, s.date)),
-        "q17_weekly_movement_by_iso_year": on_orders(
-            lambda s: trend.weekly_movement(s.fact, s.date, split_years=True)
-        ),
+        "q17_weekly_movement": on_star(weekly),
+        "q17_weekly_movement_orders": on_orders(weekly),
+        "q17_weekly_movement_by_iso_year": on_orders(lambda s: weekly(s, split_years=True)),
         "q18_alert_days": on_fact(trend.alert_days),
         "q18_alert_days_one_sigma": on_fact(lambda fact: trend.alert_days(fact, k_sigma=1)),
         "q19_review_simulation": on_fact(X.review_simulation),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import RAW_LINEITEM, RAW_ORDERS, with_tables
+from sqltwins.base import RAW_LINEITEM, RAW_ORDERS, with_tables
 from txnrisk import schema as S
 
 FACT_COLUMNS = (
@@ -20,6 +20,30 @@ CLEAN_COLUMNS = (
 )
 
 
+# calendar days leave as ISO text, as in the published tables
+DATE_OUTPUTS = {
+    "d01_dim_date": "date",
+    "s10_enriched_view": "date",
+    "s11_slice_reader": "txn_date",
+    "q11_attack_windows": "first_fraud_day last_fraud_day",
+    "q16_daily_trend": "txn_date",
+    "q17_weekly_movement": "week_start",
+    "q17_weekly_movement_orders": "week_start",
+    "q17_weekly_movement_by_iso_year": "week_start",
+    "q18_alert_days": "txn_date",
+    "q18_alert_days_one_sigma": "txn_date",
+    "m05_fraud_loss": "date",
+    "m15_fraud_rate_7d": "date",
+    "m15_fraud_rate_7d_orders": "date",
+    "m15_fraud_rate_7d_filtered": "date",
+    "m16_running_loss": "date",
+    "r04_daily": "txn_date",
+    "r09_stratified_extract": "date",
+    "r09_stratified_extract_small": "date",
+    "r13_portfolio_header": "first_day last_day",
+}
+
+
 def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -136,13 +160,16 @@ def build_sql() -> dict[str, str]:
                    (SELECT round(chi2, 6) FROM chi) AS chi2_timing, (SELECT round(chi2, 6) FROM chi_b) AS chi2_band,
                    (SELECT {BAD} FROM fact) AS successes,
                    (SELECT threshold FROM best) AS optimal_threshold, (SELECT net_benefit FROM best) AS net_benefit,
-                   (SELECT count(*) FROM grid) AS scenarios,
+                   (SELECT CAST(count(*) AS INTEGER) FROM grid) AS scenarios,
                    (SELECT max(optimal_threshold) - min(optimal_threshold) <= 40 FROM grid) AS stable,
-                   count(*) AS frauds_missed, count(DISTINCT fraud_type) AS types_missed
+                   count(*) AS frauds_missed, CAST(count(DISTINCT fraud_type) AS INTEGER) AS types_missed
             FROM fact WHERE is_fraud = 1 AND amount < (SELECT threshold FROM best)""",
         upto="fact",
         extra=", ".join([RANKS, _chi("part_of_day"), _chi("amount_band", "_b"), SWEEP, BEST, GRID]),
     )
+    for key, columns in DATE_OUTPUTS.items():
+        as_text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns.split())
+        q[key] = f"SELECT * REPLACE ({as_text})\nFROM ({q[key]})"
     return q
 
 
@@ -239,13 +266,13 @@ def _questions(q: dict[str, str]) -> None:
     )
     q["q08_terminal_worklist"] = t(
         """SELECT terminal_id, total_txns, fraud_txns, fraud_rate_pct, round(fraud_volume, 2) AS fraud_volume,
-                  unique_customers, risk_tier, rank() OVER (ORDER BY fraud_volume DESC) AS loss_rank
+                  unique_customers, risk_tier, CAST(rank() OVER (ORDER BY fraud_volume DESC) AS INTEGER) AS loss_rank
            FROM dim_terminal WHERE fraud_txns > 0 ORDER BY fraud_volume DESC, terminal_id LIMIT 20""",
         upto="dim_terminal",
     )
     ranks = ", ".join(map(str, S.PARETO_RANKS))
     q["q09_concentration"] = t(
-        f"""SELECT rn AS terminals_reviewed,
+        f"""SELECT CAST(rn AS INTEGER) AS terminals_reviewed,
                    {pct('rn', '(SELECT count(*) FROM dim_terminal)', 2)} AS pct_of_all_terminals,
                    round({dbl('cum')}, 2) AS cum_fraud_recovered, {pct('cum', 'total', 2)} AS cum_pct_of_loss
             FROM placed WHERE rn IN ({ranks})""",
@@ -331,7 +358,7 @@ def _questions(q: dict[str, str]) -> None:
         select = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in cols.split(", "))
         q[key] = t(
             f"""SELECT {select}, week_start, txns, fraud_txns, round({dbl('loss')}, 2) AS fraud_value,
-                       lag(fraud_txns) OVER w AS prev_week_fraud,
+                       {dbl('lag(fraud_txns) OVER w')} AS prev_week_fraud,
                        {pct('(fraud_txns - lag(fraud_txns) OVER w)', 'lag(fraud_txns) OVER w', 2)} AS wow_change_pct
                 FROM weekly WINDOW w AS (ORDER BY {cols})""",
             upto="dim_date",

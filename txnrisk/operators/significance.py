@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.money import cents, frauds, money, ratio, txns
-from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.functions.windows import whole
 from txnrisk.functions.tails import chi_square_p, two_sided_normal_p
@@ -258,18 +258,18 @@ def association_strength(
     fact: DataFrame, dimensions: Sequence[str] = ("part_of_day", "amount_band")
 ) -> DataFrame:
     """A7. Cramer's V per dimension and its ratio to the first one."""
-    first, *rest = [chi_square(fact, d, with_p=False) for d in dimensions]
-    every = first
-    for other in rest:
-        every = every.unionByName(other)
-    base = first.select(F.col("cramers_v").alias("_base"))
-    return with_row(every, base).select(
+    every = reduce(
+        DataFrame.unionByName, [chi_square(fact, d, with_p=False) for d in dimensions]
+    )
+    # one row per dimension
+    base = F.max(F.when(F.col("dimension") == dimensions[0], F.col("cramers_v"))).over(whole())
+    return every.select(
         "dimension",
         "chi2",
         "cramers_v",
         "strength",
         "practical_significance",
-        ratio(F.col("cramers_v"), F.col("_base")).alias("strength_vs_first"),
+        ratio(F.col("cramers_v"), base).alias("strength_vs_first"),
     )
 
 
