@@ -15,8 +15,10 @@ def ties(spark):
     return spark.range(0, 600, 1, 7).select(i, value.alias("v"))
 
 
-def test_prefix_sums_match_a_plain_scan(ties):
-    got = prefix_sums(ties, ["-v", "id"], {"rows": F.lit(1), "ids": F.col("id")}, totals=True).collect()
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_prefix_sums_match_a_plain_scan(ties, limit):
+    sums = {"rows": F.lit(1), "ids": F.col("id")}
+    got = prefix_sums(ties, ["-v", "id"], sums, totals=True, one_task_rows=limit).collect()
     rows = sorted(ties.collect(), key=lambda r: (-r["v"], r["id"]))
     total, seen = 0, {}
     for place, r in enumerate(rows):
@@ -36,7 +38,7 @@ def test_slices_split_a_value_shared_by_many_rows(spark, ties):
     try:
         parts = sliced(ties, ["v", "id"]).where("v = 5.0").select(SLICE).distinct().count()
         assert parts > 1
-        test_prefix_sums_match_a_plain_scan(ties)
+        test_prefix_sums_match_a_plain_scan(ties, 0)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
@@ -84,3 +86,27 @@ def test_heavy_keys_give_the_same_running_columns(spark, ties, coalesce):
             assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     finally:
         spark.conf.set(setting, before)
+
+
+def test_every_order_statistic_is_the_same_in_slices(spark, star, monkeypatch):
+    from txnrisk.operators import dims, measures as M, ordered, significance as A
+    from txnrisk.plans import customers, slices
+
+    def results():
+        frames = [
+            dims.build_dim_customer(star.fact),
+            A.class_summary(star.fact),
+            A.mann_whitney(star.fact),
+            M.terminal_pareto(star),
+            customers.triage_list(star.customer),
+            slices.pareto_curve(star.terminal),
+        ]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    plain = results()
+    monkeypatch.setattr(ordered.prefix_sums, "__defaults__", (False, 0))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert results() == plain
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

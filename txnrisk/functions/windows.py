@@ -6,5 +6,5 @@ from pyspark.sql import Window as W, WindowSpec
 
 
 def whole() -> WindowSpec:
-    """Only ever used on rows already aggregated to a handful (bands, hours, classes, tiers)."""
+    """Used only on a handful of aggregated rows (bands, hours, classes, tiers) or a counted few."""
     return W.partitionBy()
