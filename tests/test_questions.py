@@ -145,7 +145,6 @@ def test_weeks_of_two_years_can_be_kept_apart(clean_frame):
     assert apart[2]["wow_change_pct"] == -100.0
 
 
-# published daily losses around the one alert day: 92 values are replayed by their moments
 def test_alert_days_use_population_sigma(spark):
     losses = [100.0] * 30 + [400.0]
     made = [(i + 1, 20240101 + i, 1, l) for i, l in enumerate(losses)]
