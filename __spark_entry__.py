@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import zlib
@@ -595,9 +596,30 @@ def queries() -> dict[str, Query]:
         _measures,
         _slices,
     )
-    return {name: query for group in groups for name, query in group().items()}
+    found = {name: query for group in groups for name, query in group().items()}
+    if llm := _optional("txnrisk.llm.queries"):
+        found |= llm.queries()
+    if pipeline := _optional("corpus_pipeline"):
+        found["pipeline"] = pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    """An independent SQL statement for every query."""
-    return build_sql()
+    """An independent SQL statement for every query that SQL can express."""
+    found = build_sql()
+    if llm := _optional("txnrisk.llm.sql"):
+        found |= llm.oracle_sql()
+    if (pipeline := _optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
+def _optional(module: str):
+    """A module of the removable part, or None where that part is not installed."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as error:
+        absent = error.name or ""
+        if absent == module or absent == "txnrisk.llm" or absent.startswith("txnrisk.llm."):
+            return None
+        raise

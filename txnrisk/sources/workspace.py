@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owner: list[str] = []  # folders of runs that drop their own intermediates
+
+
+def _on_store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir`` of the session, else a folder beside the session's warehouse.
+
+    Both are places that the driver and every executor see. The warehouse path is resolved by the
+    default file system, so nothing lands in a machine's temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="txnrisk-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared folder; nothing is ever overwritten or removed."""
+    """A new folder name; nothing is ever overwritten.
+
+    It lies in the folder of the enclosing ``run_folder``, else in the application's, which the
+    file system drops when the application ends (results that are still lazy may need it till then).
+    """
+    if _owner:
+        return f"{_owner[-1]}/{label}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/txnrisk/{spark.sparkContext.applicationId}"
+    store, path = _on_store(spark, folder)
+    if store.mkdirs(path):
+        store.deleteOnExit(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Owner of one run's intermediates: all of them are dropped when the block ends.
+
+    For jobs that write their results inside the block. Lazy frames made inside it must not be used
+    after it.
+    """
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/txnrisk/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/txnrisk/{app}/run-{uuid.uuid4().hex[:12]}"
+    _owner.append(folder)
+    try:
+        yield folder
+    finally:
+        _owner.remove(folder)
+        store, path = _on_store(spark, folder)
+        store.delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
