@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txnrisk.llm import sharding, simhash, url_filters
+import public_tokenizers
+from txnrisk.llm import packing, sharding, simhash, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,9 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 SHARDS = 24
+WINDOW = 4096
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,12 +37,38 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Packing with the production parameters, and the checksum of every piece."""
+    path = WORD_BPE
+    pieces = packing.pack(docs, lambda texts: packing.word_tokens(path).ids(texts), end_id=2, size=WINDOW)
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(table(spark, folder, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, action)")
     judged = url_filters.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, folder, "documents"), PIECES)
+    return counted.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > WINDOW).alias("over_limit")
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     raw = F.coalesce(F.col("text"), F.lit(""))
@@ -62,6 +92,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_packing": op3_packing,
         "op4_url_filters": op4_url_filters,
+        "op6_token_counts": op6_token_counts,
         "op10_sharding": op10_sharding,
     }
