@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from txnrisk.llm import packing, sharding, simhash, token_counts, url_filters
+from txnrisk.llm import (
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    url_filters,
+)
+from txnrisk.llm.docstats import COUNTS
+from txnrisk.llm.labelled import is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +30,7 @@ RULES = [
 ]
 SHARDS = 24
 WINDOW = 4096
+GOOD = 0.7
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -37,6 +48,13 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_rules.fit(docs, table(spark, folder, "labels"))
+    judged = quality_rules.judge_documents(docs, model)
+    return judged.select(F.col("id").alias("doc_id"), *COUNTS, "base_failed", "score", "kept")
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Packing with the production parameters, and the checksum of every piece."""
     path = WORD_BPE
@@ -69,6 +87,18 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"), cut_score=GOOD)
+    scored = quality_classifier.score_documents(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        is_held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     raw = F.coalesce(F.col("text"), F.lit(""))
@@ -92,8 +122,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
         "op4_url_filters": op4_url_filters,
         "op6_token_counts": op6_token_counts,
+        "op8_quality_classifier": op8_quality_classifier,
         "op10_sharding": op10_sharding,
     }
