@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 from txnrisk.llm import (
+    multiset_hash,
     packing,
+    preferences,
     quality_classifier,
     quality_rules,
     sharding,
     simhash,
     token_counts,
+    unigram,
     url_filters,
 )
 from txnrisk.llm.docstats import COUNTS
@@ -80,6 +83,19 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = preferences.echo_pairs(table(spark, folder, "conversations"))
+    made = preferences.format_pairs(pairs)
+
+    def listed(spans: str) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string")))
+        return F.array_join(parts, " ").alias(spans)
+
+    return made.select(
+        "pair_id", "prompt_turns", "prompt", "chosen", "rejected", listed("chosen_spans"), listed("rejected_spans")
+    )
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), PIECES)
     return counted.select(
@@ -87,6 +103,18 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = docs.withColumn("ids", unigram.ids_of("text", PIECES))
+    back = coded.withColumn("decoded", unigram.text_of("ids", PIECES))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality_classifier.fit(docs, table(spark, folder, "labels"), cut_score=GOOD)
@@ -99,6 +127,19 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = multiset_hash.compare_with_edits(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     raw = F.coalesce(F.col("text"), F.lit(""))
@@ -125,7 +166,10 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
         "op4_url_filters": op4_url_filters,
+        "op5_chat_formatting": op5_chat_formatting,
         "op6_token_counts": op6_token_counts,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_fingerprints": op9_fingerprints,
         "op10_sharding": op10_sharding,
     }
