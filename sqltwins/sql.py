@@ -506,14 +506,14 @@ def _significance(q: dict[str, str]) -> None:
     )
     k2 = "SELECT n, round(zs * zs + zk * zk, 3) AS k2, round(exp(-(zs * zs + zk * zk) / 2), 9) AS p_value FROM z"
     q["a03_normality"] = t(k2, upto="fact", extra=moments + ", " + NORMALITY)
-    # about 5,000 draws: a row is taken once per Poisson bound its hash reaches
-    drawn = f"""mean AS (SELECT {S.NORMALITY_DRAWS}e0 / count(*) AS m FROM fact WHERE is_fraud = 0),
-        bounds AS (SELECT sum(exp(-m) * power(m, k) / gamma(k + 1)) OVER (ORDER BY k) AS bound
-                   FROM mean, range(0, 120) AS r(k)),
-        hashed AS (SELECT CAST(amount AS DOUBLE) AS x,
-                          CAST(CAST('0x' || substr(md5('{S.SEED}-' || CAST(transaction_id AS VARCHAR)), 1, 13) AS BIGINT)
-                            AS DOUBLE) / power(16e0, 13) AS u FROM fact WHERE is_fraud = 0),
-        drawn AS (SELECT x FROM hashed JOIN bounds ON bound <= u),
+    # exactly 5,000 seeded places, repeats allowed, of the legitimate rows in hashed order
+    drawn = f"""ordered AS (SELECT CAST(amount AS DOUBLE) AS x,
+                          row_number() OVER (ORDER BY md5('{S.SEED}-' || CAST(transaction_id AS VARCHAR)), transaction_id) - 1
+                            AS place FROM fact WHERE is_fraud = 0),
+        places AS (SELECT CAST(floor(CAST(CAST('0x' || substr(md5('{S.SEED}:' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE)
+                            / power(16e0, 13) * (SELECT count(*) FROM ordered)) AS BIGINT) AS place
+                   FROM range({S.NORMALITY_DRAWS}) AS r(i)),
+        drawn AS (SELECT x FROM ordered JOIN places USING (place)),
         moments AS (SELECT 0 AS is_fraud, count(*) AS n, avg(power(x - mu, 2)) AS m2, avg(power(x - mu, 3)) AS m3,
                            avg(power(x - mu, 4)) AS m4 FROM (SELECT x, avg(x) OVER () AS mu FROM drawn))"""
     q["a03_normality_sampled"] = t(k2, upto="fact", extra=drawn + ", " + NORMALITY)
@@ -774,7 +774,14 @@ def _measures(q: dict[str, str]) -> None:
         upto="fact",
     )
     monthly = f"""now AS (SELECT year, month_no, {dbl(LOSS)} AS loss FROM fact JOIN dim_date USING (date_key) GROUP BY ALL),
-        shifted AS (SELECT DISTINCT year, month_no, CAST(date - INTERVAL 1 MONTH AS DATE) AS day FROM dim_date),
+        asked AS (SELECT year, month_no, min(date) AS first_day, max(date) AS last_day FROM dim_date GROUP BY ALL),
+        shifted AS (
+          SELECT DISTINCT d.year, d.month_no, CAST(d.date - INTERVAL 1 MONTH AS DATE) AS day FROM dim_date d
+          UNION
+          SELECT a.year, a.month_no, CAST(s.day AS DATE) FROM asked a,
+                 LATERAL (SELECT unnest(generate_series(CAST(a.last_day - INTERVAL 1 MONTH AS DATE),
+                                                        last_day(CAST(a.last_day - INTERVAL 1 MONTH AS DATE)), INTERVAL 1 DAY)) AS day) s
+          WHERE a.last_day = last_day(a.last_day)),
         before AS (SELECT s.year, s.month_no, {dbl(LOSS)} AS prev FROM shifted s JOIN fact ON txn_day = s.day GROUP BY ALL)"""
     for source, raw in (("", None), ("_orders", RAW_ORDERS)):
         kw = {"raw": raw} if raw else {}

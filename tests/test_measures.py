@@ -99,15 +99,24 @@ def test_lift_labels(spark, lift, text):
 def test_previous_month(tiny):
     got = {(r["year"], r["month_no"]): r for r in M.previous_month_loss(tiny).collect()}
     assert got[(2024, 1)]["fraud_loss_pm"] is None
-    # 28 and 29 February reach back to 28 and 29 January, which hold no row
-    assert got[(2024, 2)]["fraud_loss_pm"] is None
+    # 28 February reaches back to 28 January; 29 February ends its month and reaches 29 to 31 January
+    assert got[(2024, 2)]["fraud_loss_pm"] == 10.0
     assert got[(2024, 3)]["fraud_loss_pm"] is None
     moved = small_star(tiny.fact.sparkSession, ROWS + [("2024-01-29", 1, 1, "8.00", 1), ("2024-02-05", 1, 1, "5.00", 1)])
     got = {r["month_no"]: r for r in M.previous_month_loss(moved).collect()}
-    assert (got[2]["fraud_loss_pm"], got[3]["fraud_loss_pm"]) == (8.0, 5.0)
-    assert got[2]["fraud_loss_mom_pct"] == pytest.approx((65 - 8) / 8 * 100)
+    assert (got[2]["fraud_loss_pm"], got[3]["fraud_loss_pm"]) == (18.0, 5.0)
+    assert got[2]["fraud_loss_mom_pct"] == pytest.approx((65 - 18) / 18 * 100)
     by_tier = M.previous_month_loss(moved, by=["year", "month_no", "risk_tier"]).collect()
-    assert {(r["month_no"], r["risk_tier"]): r["fraud_loss_pm"] for r in by_tier}[(2, S.RISK_TIERS[1])] == 8.0
+    assert {(r["month_no"], r["risk_tier"]): r["fraud_loss_pm"] for r in by_tier}[(2, S.RISK_TIERS[1])] == 18.0
+
+
+@pytest.mark.parametrize("month, days, before", [("2023-02", 28, 31), ("2024-03", 31, 29), ("2024-06", 30, 31), ("2023-03", 31, 28)])
+def test_a_complete_month_stands_beside_the_complete_previous_one(spark, month, days, before):
+    year, number = map(int, month.split("-"))
+    rows = [(f"{year}-{number - 1:02}-{d:02}", 1, 1, "1.00", 1) for d in range(1, before + 1)]
+    rows += [(f"{month}-{d:02}", 1, 1, "2.00", 1) for d in range(1, days + 1)]
+    got = {r["month_no"]: r for r in M.previous_month_loss(small_star(spark, rows)).collect()}
+    assert (got[number]["fraud_loss"], got[number]["fraud_loss_pm"]) == (2.0 * days, 1.0 * before)
 
 
 def test_rolling_rate_counts_calendar_days(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.operators import running
 from txnrisk.operators.ordered import ntile, position, prefix_sums, quantiles
-from txnrisk.operators.running import heavy_keys, running_columns
+from txnrisk.operators.running import running_columns
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +15,9 @@ def ties(spark):
     return spark.range(0, 600, 1, 7).select(i, value.alias("v"))
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_prefix_sums_match_a_plain_scan(ties, limit):
+def test_prefix_sums_match_a_plain_scan(ties):
     sums = {"rows": F.lit(1), "ids": F.col("id")}
-    got = prefix_sums(ties, ["-v", "id"], sums, totals=True, one_task_rows=limit).collect()
+    got = prefix_sums(ties, ["-v", "id"], sums, totals=True).collect()
     rows = sorted(ties.collect(), key=lambda r: (-r["v"], r["id"]))
     total, seen = 0, {}
     for place, r in enumerate(rows):
@@ -38,7 +37,7 @@ def test_slices_split_a_value_shared_by_many_rows(spark, ties):
     try:
         parts = sliced(ties, ["v", "id"]).where("v = 5.0").select(SLICE).distinct().count()
         assert parts > 1
-        test_prefix_sums_match_a_plain_scan(ties, 0)
+        test_prefix_sums_match_a_plain_scan(ties)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
@@ -65,7 +64,7 @@ def test_quantiles_interpolate_like_numpy(ties):
 
 
 @pytest.mark.parametrize("coalesce", ["true", "false"])
-def test_heavy_keys_give_the_same_running_columns(spark, ties, coalesce):
+def test_running_columns_match_a_plain_scan(spark, ties, coalesce):
     keyed = ties.withColumn("k", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 5 + 2))
     columns = {
         "place": running.counted(),
@@ -76,20 +75,19 @@ def test_heavy_keys_give_the_same_running_columns(spark, ties, coalesce):
     before = spark.conf.get(setting)
     spark.conf.set(setting, coalesce)
     try:
-        none = heavy_keys(keyed, "k")
-        assert none.count == 0
-        plain = running_columns(keyed, "k", ["v", "id"], columns, none)
-        for limit in (0, 70, 250):
-            heavy = heavy_keys(keyed, "k", limit)
-            assert heavy.count > 0
-            split = running_columns(keyed, "k", ["v", "id"], columns, heavy)
-            assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        split = running_columns(keyed, "k", ["v", "id"], columns).collect()
     finally:
         spark.conf.set(setting, before)
+    want, state = [], {}
+    for r in sorted(keyed.collect(), key=lambda r: (r["k"], r["v"], r["id"])):
+        place, total, last = state.get(r["k"], (0, None, None))
+        want.append((r["id"], r["v"], r["k"], place + 1, total, last))
+        state[r["k"]] = (place + 1, (total or 0) + r["id"], r["v"])
+    assert sorted(map(tuple, split), key=str) == sorted(want, key=str)
 
 
-def test_every_order_statistic_is_the_same_in_slices(spark, star, monkeypatch):
-    from txnrisk.operators import dims, measures as M, ordered, significance as A
+def test_every_order_statistic_is_the_same_in_many_slices(spark, star):
+    from txnrisk.operators import dims, measures as M, significance as A
     from txnrisk.plans import customers, slices
 
     def results():
@@ -104,7 +102,6 @@ def test_every_order_statistic_is_the_same_in_slices(spark, star, monkeypatch):
         return [sorted(map(str, f.collect())) for f in frames]
 
     plain = results()
-    monkeypatch.setattr(ordered.prefix_sums, "__defaults__", (False, 0))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert results() == plain

@@ -77,6 +77,19 @@ def test_normality_rejects_skewed_and_accepts_normal_quantiles(spark):
     assert A.normality(squared, draws=None).first()["p_value"] < 1e-6
 
 
+@pytest.mark.parametrize("draws", [1, 500])
+def test_the_number_of_draws_is_exact(spark, star, draws):
+    assert A.normality(star.fact, draws=draws).first()["n"] == draws
+    two = star.fact.where("is_fraud = 0").limit(2)
+    assert A._drawn(two, F.col("amount").alias("_x"), draws, 1).count() == draws
+    assert A._drawn(two.limit(0), F.col("amount").alias("_x"), draws, 1).count() == 0
+
+
+def test_an_empty_class_has_no_effect_size(star):
+    got = A.mann_whitney(star.fact.where("is_fraud = 0")).first()
+    assert got["effect_size_rank_biserial"] is None and got["p_value"] is None
+
+
 def test_sampled_normality_is_reproducible(star):
     assert A.normality(star.fact, draws=500).first() == A.normality(star.fact, draws=500).first()
 

@@ -78,7 +78,7 @@ def test_report_is_one_nested_row(star, tmp_path, spark):
 
 
 def test_star_round_trip(spark, raw, star, tmp_path):
-    built = build_star(raw, str(tmp_path / "star"), heavy_above=60)
+    built = build_star(raw, str(tmp_path / "star"))
     for name, df in open_star(spark, str(tmp_path / "star")).tables().items():
         assert as_set(df) == as_set(star.tables()[name].select(df.columns)), name
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in S.TABLES[name]]

@@ -9,8 +9,7 @@ from txnrisk.functions import dates, labels
 from txnrisk.functions.money import cents, money
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.operators import running
-from txnrisk.operators.running import HEAVY_ABOVE, HeavyKeys, heavy_keys, running_columns
-from txnrisk.sources.workspace import settled
+from txnrisk.operators.running import running_columns
 
 CUSTOMER_ORDER = ("txn_datetime", "transaction_id")
 TERMINAL_ORDERS = {
@@ -39,9 +38,8 @@ def fraud_types(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fraud_type", labels.fraud_type(F.col("fraud_scenario")))
 
 
-def customer_history(rows: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
+def customer_history(rows: DataFrame) -> DataFrame:
     """Place, minutes since the previous row, mean of earlier amounts and ratio to that mean."""
-    heavy = heavy or heavy_keys(rows, "customer_id")
     keyed = rows.withColumns({"_at": dates.micros(F.col("txn_datetime")), "_cents": cents()})
     seen = running_columns(
         keyed,
@@ -52,7 +50,6 @@ def customer_history(rows: DataFrame, heavy: HeavyKeys | None = None) -> DataFra
             "_prev_at": running.previous(F.col("_at")),
             "_spent": running.total_before(F.col("_cents")),
         },
-        heavy,
     )
     minutes = dates.minutes_between(F.col("_at"), F.col("_prev_at"))
     earlier_rows = F.nullif(F.col("cust_txn_seq") - 1, F.lit(0).cast("bigint"))
@@ -69,34 +66,16 @@ def customer_history(rows: DataFrame, heavy: HeavyKeys | None = None) -> DataFra
     ).drop("_at", "_cents", "_prev_at", "_spent")
 
 
-def terminal_sequence(
-    rows: DataFrame, order: str = "customer", heavy: HeavyKeys | None = None
-) -> DataFrame:
-    heavy = heavy or heavy_keys(rows, "terminal_id")
-    return running_columns(
-        rows,
-        "terminal_id",
-        TERMINAL_ORDERS[order],
-        {"terminal_txn_seq": running.counted()},
-        heavy,
-    )
-
+def terminal_sequence(rows: DataFrame, order: str = "customer") -> DataFrame:
+    sequence = {"terminal_txn_seq": running.counted()}
+    return running_columns(rows, "terminal_id", TERMINAL_ORDERS[order], sequence)
 
-def build_fact(
-    clean_rows: DataFrame, terminal_order: str = "customer", heavy_above: int = HEAVY_ABOVE
-) -> DataFrame:
-    """Seventeen fact columns from cleaned transactions, which should be a written table.
 
-    Heavy keys are counted on the narrow input first. When there are heavy terminals, the customer
-    columns are written once, because the split reads its rows more than once.
-    """
-    customers = heavy_keys(clean_rows, "customer_id", heavy_above)
-    terminals = heavy_keys(clean_rows, "terminal_id", heavy_above)
+def build_fact(clean_rows: DataFrame, terminal_order: str = "customer") -> DataFrame:
+    """Seventeen fact columns from cleaned transactions, which should be a written table."""
     labelled = fraud_types(amount_bands(time_features(clean_rows)))
-    history = customer_history(labelled, customers)
-    if terminals.count:
-        history = settled(history)
-    return terminal_sequence(history, terminal_order, terminals).select(S.FACT.fieldNames())
+    history = customer_history(labelled)
+    return terminal_sequence(history, terminal_order).select(S.FACT.fieldNames())
 
 
 def time_sorted(fact: DataFrame) -> DataFrame:

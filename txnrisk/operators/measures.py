@@ -17,7 +17,6 @@ from txnrisk.functions import dates
 from txnrisk.functions.money import (
     fraud_cents_or_zero,
     frauds,
-    if_fraud,
     money,
     ratio,
     ratio_or_zero,
@@ -27,7 +26,7 @@ from txnrisk.functions.money import (
 from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up
 from txnrisk.operators.ordered import prefix_sums
-from txnrisk.operators.thresholds import Costs, net_benefit, sweep_totals
+from txnrisk.operators.thresholds import Costs, net_benefit, sweep_buckets, sweep_spread
 from txnrisk.plans.star import Star
 from txnrisk.sources.workspace import settled
 
@@ -113,9 +112,7 @@ def _sums(star: Star, by: Sequence[str], filters: Filters) -> DataFrame:
         "_loss": fraud_cents_or_zero(),
     }
     if len(links) == 1:
-        own = [c for c in by if c not in OUTSIDE]
-        keys = list(dict.fromkeys([links[0][1], *own]))
-        rows = rows.groupBy(*keys).agg(*[v.alias(n) for n, v in sums.items()])
+        rows = rows.groupBy(*_rolled_keys(links, by)).agg(*[v.alias(n) for n, v in sums.items()])
         sums = {n: F.sum(n) for n in sums}
     zero = F.lit(0)
     return (
@@ -125,19 +122,36 @@ def _sums(star: Star, by: Sequence[str], filters: Filters) -> DataFrame:
     )
 
 
-def _distinct_counts(
-    star: Star, by: Sequence[str], filters: Filters, approximate: bool
+def _rolled_keys(links, by: Sequence[str]) -> list[str]:
+    """Dimension keys and own columns that a fact can be rolled up to before its joins."""
+    own = [c for c in by if c not in OUTSIDE]
+    return list(dict.fromkeys([key for _, key, _ in links] + own))
+
+
+def _distinct_count(
+    star: Star, by: Sequence[str], filters: Filters, column: str, name: str, fraud: bool, approximate: bool
 ) -> DataFrame:
+    """Distinct ``column`` per group; only distinct keys meet the dimensions, and only fraud if asked."""
     count = F.approx_count_distinct if approximate else F.count_distinct
-    return (
-        context(star, by, filters)
-        .groupBy(*by)
-        .agg(
-            count(if_fraud(F.col("terminal_id"))).alias("_bad_terminals"),
-            count(if_fraud(F.col("customer_id"))).alias("_bad_customers"),
-            count("customer_id").alias("_customers"),
-        )
-    )
+    links = _links(star, set(by) | set(filters))
+    rows = _own_rows(star, filters)
+    if fraud:
+        rows = rows.where(F.col("is_fraud") == 1)
+    pairs = rows.select(*dict.fromkeys([*_rolled_keys(links, by), column])).distinct()
+    return _linked(pairs, links, filters).groupBy(*by).agg(count(column).alias(name))
+
+
+# what each distinct measure counts: column, name, fraud rows only
+COUNTED = {
+    "_bad_terminals": ("terminal_id", True),
+    "_bad_customers": ("customer_id", True),
+    "_customers": ("customer_id", False),
+}
+NEEDS = {
+    "terminals_affected": ("_bad_terminals",),
+    "customers_affected": ("_bad_customers",),
+    "customer_impact_rate_pct": ("_bad_customers", "_customers"),
+}
 
 
 HUNDRED = 100.0
@@ -200,16 +214,11 @@ def evaluate(
     """
     filters = dict(filters or {})
     formulas = {**_simple(), **_distinct()}
-    counted = any(m in _distinct() for m in measures)
-    summed = any(m not in _distinct() for m in measures)
-    if counted and summed:
-        base = _joined(
-            _sums(star, by, filters), _distinct_counts(star, by, filters, approximate), by
-        )
-    elif counted:
-        base = _distinct_counts(star, by, filters, approximate)
-    else:
-        base = _sums(star, by, filters)
+    base = _sums(star, by, filters)
+    for name in dict.fromkeys(n for m in measures for n in NEEDS.get(m, ())):
+        column, fraud = COUNTED[name]
+        counts = _distinct_count(star, by, filters, column, name, fraud, approximate)
+        base = _joined(base, counts, by, "left").fillna(0, [name])
     if any(m in BASELINE_MEASURES for m in measures):
         base = _with_portfolio_rate(star, base, by, filters, keep_date_filter)
         lift = ratio(_fraud_rate(), F.col("_portfolio"))
@@ -242,12 +251,19 @@ def _with_portfolio_rate(star, base, by, filters, keep_date_filter) -> DataFrame
 def previous_month_loss(
     star: Star, by: Sequence[str] = ("year", "month_no"), filters: Filters | None = None
 ) -> DataFrame:
-    """M13 and M14. Loss over each group's dates shifted one month back, and the change on it."""
+    """M13 and M14. Loss over each group's dates shifted one month back, and the change on it.
+
+    A day goes to the same day of the previous month, or to that month's last day. A group that holds
+    the last day of a month takes the previous month to its end, so a complete month stands beside a
+    complete month whatever their lengths.
+    """
     filters = dict(filters or {})
     date_by = [c for c in by if c in DATE_COLUMNS]
     other_by = [c for c in by if c not in DATE_COLUMNS]
     days = _restricted(star.date, _only(filters, DATE_COLUMNS))
-    shifted = days.select(*date_by, F.add_months("date", -1).alias("_day")).distinct()
+    back = F.add_months("date", -1)
+    ends = F.when(F.col("date") == F.last_day("date"), F.last_day(back)).otherwise(back)
+    shifted = days.select(*date_by, F.explode(F.sequence(back, ends)).alias("_day")).distinct()
     rows = context(star, other_by, _without(filters, DATE_COLUMNS))
     daily = rows.groupBy("date_key", *other_by).agg(fraud_cents_or_zero().alias("_loss"))
     daily = daily.withColumn("_day", dates.key_to_date(F.col("date_key")))
@@ -337,7 +353,12 @@ def terminal_pareto(star: Star, filters: Filters | None = None) -> DataFrame:
         (F.col("_above") + own).alias("_cum"),
         F.col("_above_total").alias("_all"),
     )
-    return rows.join(ranked, "_loss").select(
+    # most terminals often share the loss zero: their one rank is added as a scalar, not joined
+    nothing = F.col("_loss") == 0
+    columns = ranked.columns[1:]
+    lost = rows.where(~nothing).join(ranked.where(~nothing), "_loss")
+    idle = with_row(rows.where(nothing), ranked.where(nothing).select(*columns))
+    return lost.unionByName(idle).select(
         "terminal_id",
         money(F.col("_loss")).alias("fraud_loss"),
         "terminal_loss_rank",
@@ -367,7 +388,13 @@ def threshold_measures(
     costs: Costs = Costs(),
 ) -> DataFrame:
     """M24-M37 per threshold and group. ``loss_prevented`` here is before recovery."""
-    base = sweep_totals(context(star, by, filters), thresholds, by)
+    filters = dict(filters or {})
+    if not isinstance(thresholds, range):
+        thresholds = sorted(thresholds)
+    links = _links(star, set(by) | set(filters))
+    # one row per dimension key and bucket meets the dimensions, not one per transaction
+    buckets = sweep_buckets(_own_rows(star, filters), thresholds, _rolled_keys(links, by))
+    base = sweep_spread(_linked(buckets, links, filters), thresholds, by)
     model = net_benefit(F.lit(costs.review), F.lit(costs.decline), F.lit(costs.recovery))
     flagged, caught, bad = F.col("flagged"), F.col("caught"), F.col("frauds")
     hundred = F.lit(HUNDRED)

@@ -1,10 +1,9 @@
 """Global order statistics without an unbounded single-task window.
 
-Beyond a counted size ``prefix_sums`` range-partitions rows by the sort order, writes the slices
-to the shared folder (so slice numbers cannot change between uses), totals each slice, and adds
-the totals of earlier slices to a window that only ever sees one slice. Range partitioning uses
-the whole sort key, so a value shared by a third of the rows is still split when a unique key ends
-the order.
+``prefix_sums`` range-partitions rows by the sort order, writes the slices to the shared folder (so
+slice numbers cannot change between uses), totals each slice, and adds the totals of earlier slices
+to a window that only ever sees one slice. Range partitioning uses the whole sort key, so a value
+shared by a third of the rows is still split when a unique key ends the order.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from txnrisk.functions.windows import whole
 from txnrisk.sources.workspace import settled
 
 SLICE = "_slice"
-ONE_TASK_ROWS = 200_000
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -32,35 +30,13 @@ def sliced(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def prefix_sums(
-    df: DataFrame,
-    order: Sequence[str],
-    sums: Mapping[str, Column],
-    totals: bool = False,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], totals: bool = False
 ) -> DataFrame:
     """Add, per entry of ``sums``, its total over all rows that sort strictly before the row.
 
     ``order`` must identify rows. With ``totals`` the grand totals come along as ``<name>_total``.
-    The rows are written first; a result counted at no more than ``one_task_rows`` is ordered by
-    one window, a larger one in slices.
     """
-    keyed = settled(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]))
-    if keyed.count() <= one_task_rows:
-        return _in_one_task(keyed, df.columns, order, list(sums), totals)
-    return _in_slices(keyed, df.columns, order, list(sums), totals)
-
-
-def _in_one_task(keyed, columns, order, sums, totals) -> DataFrame:
-    before = W.orderBy(*sort_columns(order)).rowsBetween(W.unboundedPreceding, -1)
-    return keyed.select(
-        *columns,
-        *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(n) for n in sums],
-        *([F.sum(f"_v_{n}").over(whole()).alias(f"{n}_total") for n in sums] if totals else []),
-    )
-
-
-def _in_slices(keyed, columns, order, sums, totals) -> DataFrame:
-    rows = sliced(keyed, order)
+    rows = sliced(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), order)
     per_slice = rows.groupBy(SLICE).agg(*[F.sum(f"_v_{n}").alias(n) for n in sums])
     # one row per slice: bounded by the number of shuffle partitions
     earlier = W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
@@ -75,7 +51,7 @@ def _in_slices(keyed, columns, order, sums, totals) -> DataFrame:
     before = local.rowsBetween(W.unboundedPreceding, -1)
     joined = rows.join(F.broadcast(carried), SLICE)
     return joined.select(
-        *columns,
+        *df.columns,
         *[
             (F.coalesce(F.sum(f"_v_{n}").over(before), zero) + F.col(f"_c_{n}")).alias(n)
             for n in sums

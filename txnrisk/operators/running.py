@@ -1,8 +1,8 @@
 """Running per-key columns that stay parallel when one key holds a large share of the rows.
 
-Keys with at most ``heavy_above`` rows take an ordinary window. Heavier keys are range-partitioned
-by (key, order) into slices; a window inside each (slice, key) is completed with what the earlier
-slices of the same key carry over. Both ways give the same values.
+Rows are range-partitioned by (key, order) into slices, which splits a heavy key and keeps light ones
+together; a window inside each (slice, key) is completed with what the earlier slices of the same
+key carry over.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec, Window as W, functions as F
 
 from txnrisk.operators.ordered import SLICE, sliced, sort_columns
-from txnrisk.sources.workspace import settled
-
-HEAVY_ABOVE = 5_000_000
-BROADCAST_KEYS = 1_000_000  # eight bytes each
 
 
 @dataclass(frozen=True)
@@ -64,47 +60,10 @@ def previous(value: Column) -> Running:
     )
 
 
-@dataclass(frozen=True)
-class HeavyKeys:
-    """Keys with more rows than one task should hold; there are at most rows / limit of them."""
-
-    keys: DataFrame
-    count: int
-
-    def side(self) -> DataFrame:
-        """Broadcast behind a size check; beyond it a shuffled join, which splits skewed keys."""
-        return F.broadcast(self.keys) if self.count <= BROADCAST_KEYS else self.keys
-
-
-def heavy_keys(df: DataFrame, key: str, heavy_above: int = HEAVY_ABOVE) -> HeavyKeys:
-    """One narrow, map-side combined count. ``df`` should be a written table."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    keys = settled(sizes.where(F.col("_n") > heavy_above).select(key))
-    return HeavyKeys(keys, keys.count())
-
-
 def running_columns(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    columns: Mapping[str, Running],
-    heavy: HeavyKeys,
+    df: DataFrame, key: str, order: Sequence[str], columns: Mapping[str, Running]
 ) -> DataFrame:
-    if heavy.count == 0:
-        return _plain(df, key, order, columns)
-    light_rows = df.join(heavy.side(), key, "left_anti").select(df.columns)
-    heavy_rows = df.join(heavy.side(), key, "left_semi").select(df.columns)
-    return _plain(light_rows, key, order, columns).unionByName(
-        _sliced(heavy_rows, key, order, columns)
-    )
-
-
-def _plain(df, key, order, columns) -> DataFrame:
-    window = W.partitionBy(key).orderBy(*sort_columns(order))
-    return df.select("*", *[c.local(window).alias(n) for n, c in columns.items()])
-
-
-def _sliced(df, key, order, columns) -> DataFrame:
+    """``df`` is read twice (its range is sampled first), so it should be a written table."""
     rows = sliced(df, [key, *order])
     shares = rows.groupBy(SLICE, key).agg(*[c.share.alias(n) for n, c in columns.items()])
     # a key has one share per slice it spans, so these windows are short

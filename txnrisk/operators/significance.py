@@ -6,7 +6,6 @@ ordering of those values is sliced, so nothing depends on how often one value oc
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.money import cents, frauds, money, ratio, txns
+from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.functions.windows import whole
 from txnrisk.functions.tails import chi_square_p, two_sided_normal_p
@@ -21,6 +21,7 @@ from txnrisk.operators.ordered import prefix_sums, values_at
 
 WIDE = "decimal(38,0)"
 HASH_DIGITS = 13  # 52 bits, exact in a double
+CELL_DIGITS = 4
 
 
 def _placed_values(fact: DataFrame, value: str, flag: str) -> DataFrame:
@@ -86,17 +87,13 @@ def normality(
 ) -> DataFrame:
     """A3. D'Agostino-Pearson K2 of legitimate amounts.
 
-    With ``draws`` the moments come from about that many seeded draws with replacement, without it
-    from every row. The p-value is the chi-square tail for two degrees of freedom.
+    With ``draws`` the moments come from exactly that many seeded draws with replacement (none if
+    there is no legitimate row), without it from every row. The p-value is the chi-square tail for
+    two degrees of freedom.
     """
     legit = fact.where(F.col(flag) == 0)
     number = F.col(value).cast("double").alias("_x")
-    if draws is None:
-        chosen = legit.select(number)
-    else:
-        mean = draws / max(legit.count(), 1)
-        copies = _copies(F.col("transaction_id"), mean, seed)
-        chosen = legit.select(F.explode(F.array_repeat(number, copies)).alias("_x"))
+    chosen = legit.select(number) if draws is None else _drawn(legit, number, draws, seed)
     moments = chosen.agg(
         F.count("_x").cast("double").alias("n"),
         F.skewness("_x").alias("skew"),
@@ -111,20 +108,44 @@ def normality(
     )
 
 
-def _copies(key: Column, mean: float, seed: int) -> Column:
-    """How often a row is drawn with replacement: a Poisson count from the row's own seeded hash.
+def _drawn(rows: DataFrame, value: Column, draws: int, seed: int) -> DataFrame:
+    """The value ``_x`` at ``draws`` seeded places, repeats allowed, of the rows in hashed order.
 
-    The draw depends on the key alone, so it is the same for any file layout and any retry.
+    A histogram over the leading hash digits (a fixed number of cells) tells which cells hold a
+    drawn place; only their rows, at most one cell per draw, are ordered. Draws and order depend on
+    keys and seed alone, so they are the same for any file layout and any retry.
     """
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), 1, HASH_DIGITS)
-    uniform = F.conv(digits, 16, 10).cast("double") / F.lit(float(16**HASH_DIGITS))
-    steps, term, total = [], math.exp(-mean), 0.0
-    for k in range(1, int(mean + 12 * math.sqrt(mean) + 25)):
-        total += term
-        steps.append(total)
-        term *= mean / k
-    bounds = F.array(*[F.lit(x) for x in steps])
-    return F.size(F.filter(bounds, lambda bound: bound <= uniform))
+    key = F.concat(F.lit(f"{seed}-"), F.col("transaction_id").cast("string"))
+    hashed = rows.select("transaction_id", value, F.md5(key).alias("_hash"))
+    cell = F.substring("_hash", 1, CELL_DIGITS)
+    upto = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # at most 16**CELL_DIGITS rows
+    counts = hashed.groupBy(cell.alias("_cell")).agg(txns().alias("_in"))
+    cells = counts.withColumn("_first", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
+    total = counts.agg(F.coalesce(F.sum("_in"), F.lit(0)).alias("_all"))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, HASH_DIGITS)
+    share = F.conv(digits, 16, 10).cast("double") / F.lit(float(16**HASH_DIGITS))
+    spark = rows.sparkSession
+    places = with_row(spark.range(draws), total).where("_all > 0").select(
+        F.floor(share * F.col("_all")).alias("_place")
+    )
+    # each place beside the cell it falls into: the last cell that starts at or before it
+    marks = cells.select(F.col("_first").alias("_place"), F.lit(0).alias("_kind"), "_cell", "_first")
+    asked = places.select("_place", F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("bigint"))
+    seen = W.orderBy("_place", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    held = marks.union(asked).select(
+        "_place",
+        "_kind",
+        F.last("_cell", ignorenulls=True).over(seen).alias("_cell"),
+        F.last("_first", ignorenulls=True).over(seen).alias("_first"),
+    ).where("_kind = 1")
+    wanted = held.select("_cell", "_first").distinct()
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy("_hash", "transaction_id"))
+    ordered = (
+        hashed.withColumn("_cell", cell)
+        .join(F.broadcast(wanted), "_cell")  # at most one row per draw
+        .select("_x", (F.col("_first") + inside - 1).alias("_place"))
+    )
+    return ordered.join(held.select("_place"), "_place").select("_x")
 
 
 def _skew_score() -> Column:
@@ -161,7 +182,8 @@ def mann_whitney(
 ) -> DataFrame:
     """A4 and A5. U of the flagged class with mid-ranks, rank-biserial effect, normal p-value.
 
-    Twice the rank sum is added as whole numbers, so U is exact.
+    Twice the rank sum is added as whole numbers, so U is exact. With an empty class the effect and
+    the p-value are null.
     """
     placed = _placed_values(fact, value, flag)
     below = (F.col("_bad_below") + F.col("_good_below")).cast(WIDE)
@@ -176,13 +198,13 @@ def mann_whitney(
     n1, n2 = F.col("_n1").cast("double"), F.col("_n2").cast("double")
     n = n1 + n2
     u = (F.col("_r2") - F.col("_n1").cast("decimal(18,0)") * (F.col("_n1") + 1)).cast("double") / 2.0
-    effect = F.abs(1.0 - 2.0 * u / (n1 * n2))
+    effect = F.abs(1.0 - ratio(2.0 * u, n1 * n2))
     scored = sums.select(
         u.alias("u_statistic"),
         effect.alias("effect_size_rank_biserial"),
-        (
-            (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
-            / F.sqrt(n1 * n2 / 12.0 * (n + 1.0 - F.col("_ties") / (n * (n - 1.0))))
+        ratio(
+            F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5,
+            F.sqrt(n1 * n2 / 12.0 * (n + 1.0 - ratio(F.col("_ties"), n * (n - 1.0)))),
         ).alias("_z"),
     )
     if not with_p:

@@ -46,35 +46,61 @@ def _bucket(thresholds: Sequence[float]) -> Column:
     return chain.otherwise(F.lit(len(thresholds) - 1))
 
 
-def sweep_totals(
-    fact: DataFrame, thresholds: Sequence[float] = S.REVIEW_SWEEP, by: Sequence[str] = ()
-) -> DataFrame:
-    """Per slice and threshold: flagged, caught and totals, in counts and cents."""
-    if not isinstance(thresholds, range):
-        thresholds = sorted(thresholds)
-    buckets = fact.groupBy(*by, _bucket(thresholds).alias("_bucket")).agg(
+SUMS = ("_n", "_bad", "_loss")
+
+
+def sweep_buckets(rows: DataFrame, thresholds: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Counts and cents per key and bucket, combined before the shuffle."""
+    return rows.groupBy(*keys, _bucket(thresholds).alias("_bucket")).agg(
         txns().alias("_n"), frauds().alias("_bad"), fraud_cents_or_zero().alias("_loss")
     )
+
+
+def sweep_spread(
+    buckets: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Per slice and threshold, from bucket rows: sums over the buckets at or above the threshold.
+
+    A slice has at most one cell per threshold and one below them, so its cells fit in one row.
+    """
+    single = buckets.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in SUMS])
+    slices = single.groupBy(*by).agg(F.collect_list(F.struct("_bucket", *SUMS)).alias("_cells"))
     if isinstance(thresholds, range):
-        start, last, step = thresholds.start, thresholds[-1], thresholds.step
-        steps = F.sequence(F.lit(start), F.lit(last), F.lit(step))
+        steps = F.sequence(F.lit(thresholds.start), F.lit(thresholds[-1]), F.lit(thresholds.step))
     else:
         steps = F.array(*[F.lit(t) for t in thresholds])
-    spread = buckets.select("*", F.posexplode(steps).alias("_step", "threshold"))
-    reached = F.col("_step") <= F.col("_bucket")
-
-    def hit(column: str) -> Column:
-        return F.sum(F.when(reached, F.col(column)).otherwise(F.lit(0).cast("bigint")))
-
-    return spread.groupBy(*by, "threshold").agg(
-        hit("_n").alias("flagged"),
-        hit("_bad").alias("caught"),
-        hit("_loss").alias("caught_cents"),
-        F.sum("_n").alias("txns"),
-        F.sum("_bad").alias("frauds"),
-        F.sum("_loss").alias("fraud_cents"),
+    spread = slices.where(F.size("_cells") > 0).select(
+        *by, "_cells", F.posexplode(steps).alias("_step", "threshold")
     )
 
+    def added(column: str, reached: bool) -> Column:
+        lowest = F.col("_step") if reached else F.lit(NO_THRESHOLD)
+        return F.aggregate(
+            "_cells",
+            F.lit(0).cast("bigint"),
+            lambda total, c: total + F.when(c["_bucket"] >= lowest, c[column]).otherwise(F.lit(0)),
+        )
+
+    return spread.select(
+        *by,
+        "threshold",
+        added("_n", True).alias("flagged"),
+        added("_bad", True).alias("caught"),
+        added("_loss", True).alias("caught_cents"),
+        added("_n", False).alias("txns"),
+        added("_bad", False).alias("frauds"),
+        added("_loss", False).alias("fraud_cents"),
+    )
+
+
+def sweep_totals(
+    fact: DataFrame, thresholds: Sequence[float] = S.REVIEW_SWEEP, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per slice and threshold: flagged, caught and totals, in counts and cents."""
+    if not isinstance(thresholds, range):
+        thresholds = sorted(thresholds)
+    return sweep_spread(sweep_buckets(fact, thresholds, by), thresholds, by)
+
 
 def net_benefit(costs_review: Column, costs_decline: Column, recovery: Column) -> dict[str, Column]:
     """Cost model over ``sweep_totals`` columns."""

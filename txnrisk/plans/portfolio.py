@@ -23,21 +23,24 @@ from txnrisk.functions.rounding import round_half_up as r
 from txnrisk.functions.windows import whole
 
 
-
 def rate_pct(fraud: str = "fraud_txns", count: str = "txns", digits: int = 3):
     return r(percent(F.col(fraud), F.col(count)), digits)
 
 
+def distinct_of(fact: DataFrame, column: str, name: str) -> DataFrame:
+    """One row. Two distinct counts in one aggregate would copy every row for each of them."""
+    return fact.agg(F.count_distinct(column).alias(name))
+
+
 def totals(fact: DataFrame) -> DataFrame:
     """Q1. One row: size and exposure."""
     base = fact.agg(
         txns().alias("total_txns"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("terminal_id").alias("terminals"),
         value_cents().alias("_value"),
         frauds().alias("fraud_txns"),
         fraud_cents().alias("_fraud"),
     )
+    base = with_row(with_row(base, distinct_of(fact, "customer_id", "customers")), distinct_of(fact, "terminal_id", "terminals"))
     exposed = F.coalesce(F.col("_fraud"), F.lit(0))
     return base.select(
         "total_txns",
@@ -73,16 +76,16 @@ def class_profile(fact: DataFrame) -> DataFrame:
 
 def loss_by_type(fact: DataFrame) -> DataFrame:
     """Q3. Fraud only, one row per typology."""
-    base = (
-        fact.where(F.col("is_fraud") == 1)
-        .groupBy("fraud_type")
-        .agg(
-            txns().alias("incidents"),
-            value_cents().alias("_loss"),
-            F.count_distinct("customer_id").alias("customers_hit"),
-            F.count_distinct("terminal_id").alias("terminals_involved"),
-        )
+    bad = fact.where(F.col("is_fraud") == 1)
+    sums = bad.groupBy("fraud_type").agg(txns().alias("incidents"), value_cents().alias("_loss"))
+    hit = bad.groupBy(F.col("fraud_type").alias("_c")).agg(
+        F.count_distinct("customer_id").alias("customers_hit")
+    )
+    used = bad.groupBy(F.col("fraud_type").alias("_t")).agg(
+        F.count_distinct("terminal_id").alias("terminals_involved")
     )
+    own = F.col("fraud_type")
+    base = sums.join(hit, own.eqNullSafe(F.col("_c"))).join(used, own.eqNullSafe(F.col("_t")))
     return base.select(
         "fraud_type",
         "incidents",

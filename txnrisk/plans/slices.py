@@ -36,12 +36,12 @@ def kpi_source(fact: DataFrame) -> DataFrame:
     """R1."""
     base = fact.agg(
         txns().alias("txns"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("terminal_id").alias("terminals"),
         value_cents().alias("_value"),
         frauds().alias("frauds"),
         fraud_cents_or_zero().alias("_loss"),
     )
+    for column, name in (("customer_id", "customers"), ("terminal_id", "terminals")):
+        base = with_row(base, portfolio.distinct_of(fact, column, name))
     return base.select(
         "txns",
         "customers",

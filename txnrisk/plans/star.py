@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from txnrisk import schema as S
 from txnrisk.operators import dims, quality
 from txnrisk.operators.features import build_fact
-from txnrisk.operators.running import HEAVY_ABOVE
 from txnrisk.sources import files
 from txnrisk.sources.workspace import fresh_path
 
@@ -38,12 +37,12 @@ def stage_clean(raw: DataFrame, folder: str) -> DataFrame:
 
 
 def build_from_clean(
-    rows: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
+    rows: DataFrame, folder: str, daily_folders: bool = True
 ) -> Star:
     """Add features, write the fact once, and derive every dimension from what was written."""
     spark = rows.sparkSession
     target = f"{folder}/fact_transactions"
-    files.write_fact(build_fact(rows, heavy_above=heavy_above), target, daily_folders=daily_folders)
+    files.write_fact(build_fact(rows), target, daily_folders=daily_folders)
     fact = files.read_fact(spark, target)
     for name, build in (
         ("dim_date", dims.build_dim_date),
@@ -56,11 +55,11 @@ def build_from_clean(
 
 
 def build_star(
-    raw: DataFrame, folder: str, heavy_above: int = HEAVY_ABOVE, daily_folders: bool = True
+    raw: DataFrame, folder: str, daily_folders: bool = True
 ) -> Star:
     """Raw transactions to a written star schema."""
     rows = stage_clean(raw, f"{folder}/clean")
-    return build_from_clean(rows, folder, heavy_above, daily_folders)
+    return build_from_clean(rows, folder, daily_folders)
 
 
 def open_star(spark: SparkSession, folder: str) -> Star:
@@ -75,7 +74,8 @@ def publish(star: Star, database: str = "default", customer_buckets: int = 0) ->
     """Save the star as catalog tables with column statistics for the optimizer.
 
     ``customer_buckets`` lays fact and customers out by customer instead of by day, so that joins
-    and groupings on the customer need no shuffle when both tables are too large to broadcast.
+    and groupings on the customer need no shuffle when both tables are too large to broadcast. A
+    bucket holds whole customers, so it is unfit where one customer has a large share of the rows.
     """
     spark = star.fact.sparkSession
     for name, df in star.tables().items():
@@ -149,20 +149,32 @@ _staged: dict[tuple, DataFrame] = {}
 _opened: dict[tuple, Star] = {}
 
 
+def _state_of(spark: SparkSession, source: str) -> tuple:
+    """Size, number of files and last change of a source folder: another state, another star."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told = store.getContentSummary(path)
+    changed = max((s.getModificationTime() for s in store.listStatus(path)), default=0)
+    return told.getLength(), told.getFileCount(), changed
+
+
 def clean_for(raw_reader, spark: SparkSession, source: str) -> DataFrame:
-    """Cleaned rows of a source, staged once per application in the shared folder."""
-    key = (spark.sparkContext.applicationId, raw_reader.__name__, source)
+    """Cleaned rows of a source, staged once per application and state of the source."""
+    app = spark.sparkContext.applicationId
+    key = (app, raw_reader.__name__, source, _state_of(spark, source))
     if key not in _staged:
         _staged[key] = stage_clean(raw_reader(spark, source), fresh_path(spark, "clean"))
     return _staged[key]
 
 
 def star_for(raw_reader, spark: SparkSession, source: str, daily_folders: bool = True) -> Star:
-    """The star of a source, built once per application in the shared folder and read from there.
+    """The star of a source, built once per application and state of the source.
 
-    The written tables never change, so the opened frames (and their file listings) are kept.
+    It is read from the shared folder. The written tables never change, so the opened frames (and
+    their file listings) are kept.
     """
-    key = (spark.sparkContext.applicationId, raw_reader.__name__, source)
+    app = spark.sparkContext.applicationId
+    key = (app, raw_reader.__name__, source, _state_of(spark, source), daily_folders)
     if key not in _opened:
         rows = clean_for(raw_reader, spark, source)
         folder = fresh_path(spark, "star")
