@@ -31,7 +31,7 @@ from txnrisk.plans.star import (  # noqa: E402
     star_for,
 )
 from txnrisk.sources import files, landing, sample_tables  # noqa: E402
-from txnrisk.sources.workspace import fresh_path  # noqa: E402
+from txnrisk.sources.workspace import fresh_path, settled  # noqa: E402
 from txnrisk.streaming.landing import land_stream  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +194,36 @@ def _round_trips() -> dict[str, Query]:
         landing.land_new_days(raw, target)
         return _raw_columns(landing.read_landed(spark, target))
 
+    def daily_scan_csv(spark, folder):
+        inbox = fresh_path(spark, "daily_csv")
+        names = S.RAW.fieldNames()
+        shuffled = raw_events(spark, folder).select(*names[3:], *names[:3])  # bound by header
+        files.write_csv(shuffled, inbox)
+        scanned = files.read_daily_files(spark, inbox, "csv").select(names)
+        return shown(typed(scanned))
+
+    def text_ids(spark, folder):
+        inbox = fresh_path(spark, "daily_text")
+        raw = raw_events(spark, folder)
+        as_text = {c: F.col(c).cast("string") for c in ("CUSTOMER_ID", "TERMINAL_ID")}
+        files.write_daily_files(raw.withColumns(as_text), inbox)
+        return shown(typed(files.read_daily_files(spark, inbox).select(S.RAW.fieldNames())))
+
+    def undated_thrice(spark, folder):
+        target = fresh_path(spark, "landing")
+        missing = F.when(F.col("TRANSACTION_ID") % 97 != 0, F.col("TX_DATETIME"))
+        raw = raw_events(spark, folder).withColumn("TX_DATETIME", missing)
+        for _ in range(3):
+            landing.land_new_days(raw, target)
+        return _raw_columns(landing.read_landed(spark, target))
+
+    def quarantined(spark, folder):
+        amount = F.when(F.col("TRANSACTION_ID") % 89 == 0, "5x0").otherwise(F.col("TX_AMOUNT").cast("string"))
+        raw = raw_events(spark, folder).withColumn("TX_AMOUNT", amount)
+        kept, aside = quality.typed_with_quarantine(quality.rename_and_prune(raw))
+        states = [rows.select("transaction_id", F.lit(name).alias("state")) for rows, name in ((kept, "kept"), (aside, "set aside"))]
+        return states[0].unionByName(states[1])
+
     def landing_replaced(spark, folder):
         target = fresh_path(spark, "landing")
         raw = raw_events(spark, folder)
@@ -221,6 +251,21 @@ def _round_trips() -> dict[str, Query]:
 
         return run
 
+    def csv_made(make):
+        def run(spark, folder):
+            made = make(star_of(spark, folder))
+            target = fresh_path(spark, "csv")
+            files.write_csv(made, target)
+            return shown(files.read_csv(spark, target, made.schema))
+
+        return run
+
+    def csv_audit(spark, folder):
+        made = quality.audit(typed(raw_events(spark, folder)))
+        target = fresh_path(spark, "csv")
+        files.write_csv(made, target)
+        return files.read_csv(spark, target, made.schema)
+
     def json_results(spark, folder):
         target = fresh_path(spark, "json")
         result = statistical_results(star_of(spark, folder).fact)
@@ -234,17 +279,29 @@ def _round_trips() -> dict[str, Query]:
             "test5_threshold.optimal_threshold",
             "test5_threshold.net_benefit",
             F.size("test6_sensitivity.scenarios").alias("scenarios"),
+            F.concat_ws("-", F.transform("test6_sensitivity.threshold_range", lambda v: v.cast("string"))).alias(
+                "threshold_range"
+            ),
             "test6_sensitivity.stable",
+            F.map_values("test2_timing.fraud_rate_by_period")[0].alias("first_period_rate"),
+            round_half_up(F.col("test3_amount_band.strength_vs_timing"), 6).alias("strength_vs_timing"),
+            "test5_threshold.assumptions.cost_per_review",
+            "test5_threshold.assumptions.cost_false_decline",
+            "test5_threshold.assumptions.recovery_rate",
             "test7_blind_spot.frauds_missed",
             F.size("test7_blind_spot.by_type").alias("types_missed"),
         )
 
     def catalog_scan(spark, folder):
-        name = f"txnrisk_{zlib.crc32(folder.encode()):08x}"
         location = fresh_path(spark, "warehouse")
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{location}'")
-        publish(star_of(spark, folder), name)
-        return shown(open_published(spark, name).fact)
+        name = f"txnrisk_{zlib.crc32(location.encode()):08x}"
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{location}'")
+        try:
+            publish(star_of(spark, folder), name)
+            scanned = settled(shown(open_published(spark, name).fact))
+        finally:
+            spark.sql(f"DROP DATABASE {name} CASCADE")
+        return scanned
 
     def star_sizes(spark, folder):
         counts = [
@@ -267,11 +324,21 @@ def _round_trips() -> dict[str, Query]:
 
     return {
         "s01_daily_scan": daily_scan,
+        "s01_daily_scan_csv": daily_scan_csv,
+        "s01_daily_scan_text_ids": text_ids,
+        "s02_landing_null_time": undated_thrice,
+        "t02_quarantine": quarantined,
         "s02_landing": landing_twice,
         "s02_landing_replace": landing_replaced,
         "s02_landing_stream": landing_streamed,
         "s03_fact_parquet": fact_parquet,
         "s04_csv_round_trip": csv_of(lambda star: star.customer, S.DIM_CUSTOMER),
+        "s04_csv_dim_date": csv_of(lambda star: star.date, S.DIM_DATE),
+        "s04_csv_dim_terminal": csv_of(lambda star: star.terminal, S.DIM_TERMINAL),
+        "s04_csv_dim_amount_band": csv_of(lambda star: star.band, S.TABLES["dim_amount_band"]),
+        "s04_csv_sweep": csv_made(lambda star: X.threshold_sweep(star.fact)),
+        "s04_csv_sensitivity": csv_made(lambda star: X.sensitivity(star.fact)),
+        "s04_csv_audit": csv_audit,
         "s05_fact_csv": csv_of(lambda star: star.fact, S.FACT),
         "s06_json_results": json_results,
         "s07_table_scan": catalog_scan,
@@ -462,7 +529,19 @@ def _measures() -> dict[str, Query]:
         keep = ["fraud_loss", name] if name == "terminal_loss_rank" else [name]
         return on_star(lambda s: M.terminal_pareto(s).select("terminal_id", *keep))
 
+    def selections(star):
+        """The selected threshold when none, one and several of the data's hundreds are chosen."""
+        whole = F.floor(F.col("amount") / 100).cast("int") * 100
+        present = star.fact.select(whole.alias("threshold")).where("threshold > 0").distinct()
+        chosen = {"none": "threshold < 0", "one": "threshold = 100", "several": "threshold <= 200"}
+        picked = [
+            M.selected_threshold(present.where(rule)).select(F.lit(k).alias("options"), "selected_threshold")
+            for k, rule in chosen.items()
+        ]
+        return picked[0].unionByName(picked[1]).unionByName(picked[2])
+
     found = {key: simple(name, by) for key, (name, _, by) in SIMPLE_MEASURES.items()}
+    found["m24_selection_rule"] = on_star(selections)
     found |= {key: by_threshold(name) for key, name in THRESHOLD_MEASURES.items()}
     found |= {
         "m10_portfolio_rate": lifted(

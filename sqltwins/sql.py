@@ -23,6 +23,7 @@ CLEAN_COLUMNS = (
 # calendar days leave as ISO text, as in the published tables
 DATE_OUTPUTS = {
     "d01_dim_date": "date",
+    "s04_csv_dim_date": "date",
     "s10_enriched_view": "date",
     "s11_slice_reader": "txn_date",
     "q11_attack_windows": "first_fraud_day last_fraud_day",
@@ -124,11 +125,23 @@ def build_sql() -> dict[str, str]:
     # --- sources and sinks: the table that makes the round trip --------------------------------
     fact = t(f"SELECT {FACT_COLUMNS} FROM fact", upto="fact")
     q["s01_daily_scan"] = q["t01_rename_prune"]
+    q["s01_daily_scan_csv"] = q["s01_daily_scan_text_ids"] = q["t02_typed"]
+    q["s02_landing_null_time"] = (
+        f"SELECT * REPLACE (CASE WHEN transaction_id % 97 <> 0 THEN txn_datetime END AS txn_datetime)\nFROM ({q['t01_rename_prune']})"
+    )
+    q["t02_quarantine"] = (
+        "SELECT transaction_id, CASE WHEN transaction_id % 89 = 0 THEN 'set aside' ELSE 'kept' END AS state\n"
+        f"FROM ({q['t01_rename_prune']})"
+    )
     q["s02_landing"] = q["t01_rename_prune"]
     q["s02_landing_replace"] = q["t01_rename_prune"]
     q["s02_landing_stream"] = q["t01_rename_prune"]
     q["s03_fact_parquet"] = fact
     q["s04_csv_round_trip"] = q["d03_dim_customer"]
+    q["s04_csv_dim_date"] = q["d01_dim_date"]
+    q["s04_csv_dim_terminal"] = q["d04_dim_terminal"]
+    q["s04_csv_dim_amount_band"] = q["d06_dim_amount_band"]
+    q["s04_csv_audit"] = q["t03_quality_audit"]
     q["s05_fact_csv"] = fact
     q["s07_table_scan"] = fact
     q["s08_star_build"] = t(
@@ -155,6 +168,16 @@ def build_sql() -> dict[str, str]:
     _measures(q)
     _slices(q)
     q["s11_slice_reader"] = q["r04_daily"]
+    q["s04_csv_sweep"] = q["x01_threshold_sweep"]
+    q["s04_csv_sensitivity"] = q["x04_sensitivity"]
+    q["m24_selection_rule"] = t(
+        f"""SELECT options, CASE WHEN count(DISTINCT threshold) = 1 THEN max(threshold) ELSE {S.DEFAULT_THRESHOLD} END
+                     AS selected_threshold
+            FROM (VALUES ('none', -1, -1), ('one', 100, 100), ('several', 100, 200)) AS o(options, low, high)
+            LEFT JOIN (SELECT DISTINCT CAST(floor(amount / 100) AS INTEGER) * 100 AS threshold FROM fact) f
+              ON threshold BETWEEN low AND high GROUP BY options""",
+        upto="fact",
+    )
     q["s06_json_results"] = t(
         f"""SELECT (SELECT u FROM u) AS u_statistic,
                    (SELECT round(chi2, 6) FROM chi) AS chi2_timing, (SELECT round(chi2, 6) FROM chi_b) AS chi2_band,
@@ -162,6 +185,15 @@ def build_sql() -> dict[str, str]:
                    (SELECT threshold FROM best) AS optimal_threshold, (SELECT net_benefit FROM best) AS net_benefit,
                    (SELECT CAST(count(*) AS INTEGER) FROM grid) AS scenarios,
                    (SELECT max(optimal_threshold) - min(optimal_threshold) <= 40 FROM grid) AS stable,
+                   (SELECT min(optimal_threshold) || '-' || max(optimal_threshold) FROM grid) AS threshold_range,
+                   (SELECT round_even({BAD} * 1e0 / count(*) * 100, 3) FROM fact
+                     WHERE part_of_day = (SELECT min(part_of_day) FROM fact)) AS first_period_rate,
+                   (SELECT round(sqrt(b.chi2 / (b.n * least(b.levels - 1, 1))) / sqrt(c.chi2 / (c.n * least(c.levels - 1, 1))), 6)
+                      FROM (SELECT (SELECT chi2 FROM chi_b) AS chi2, count(*) AS n, count(DISTINCT amount_band) AS levels FROM fact) b,
+                           (SELECT (SELECT chi2 FROM chi) AS chi2, count(*) AS n, count(DISTINCT part_of_day) AS levels FROM fact) c)
+                     AS strength_vs_timing,
+                   {S.REVIEW_COST}e0 AS cost_per_review, {S.DECLINE_COST}e0 AS cost_false_decline,
+                   {S.RECOVERY_RATE}e0 AS recovery_rate,
                    count(*) AS frauds_missed, CAST(count(DISTINCT fraud_type) AS INTEGER) AS types_missed
             FROM fact WHERE is_fraud = 1 AND amount < (SELECT threshold FROM best)""",
         upto="fact",

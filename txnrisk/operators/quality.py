@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from txnrisk import schema as S
 from txnrisk.functions.rounding import round_half_even
 
+# fixed values: published column names
 RENAMES = {
     "TRANSACTION_ID": "transaction_id",
     "TX_DATETIME": "txn_datetime",
@@ -115,7 +116,11 @@ def positive_amounts(rows: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    return positive_amounts(keep_first(typed(rename_and_prune(raw))))
+    return clean_typed(typed(rename_and_prune(raw)))
+
+
+def clean_typed(rows: DataFrame) -> DataFrame:
+    return positive_amounts(keep_first(rows))
 
 
 def clean_summary(rows: DataFrame) -> DataFrame:

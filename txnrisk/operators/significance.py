@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from txnrisk import schema as S
-from txnrisk.functions.money import cents, frauds, money, ratio, txns
+from txnrisk.functions.money import cents, money, ratio, txns
 from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_even
 from txnrisk.functions.windows import whole
@@ -215,8 +215,20 @@ def mann_whitney(
     ).withColumn("significant_at_5pct", F.col("p_value") < 0.05)
 
 
+def _rows_and_hits(flag: str, weight: str | None) -> tuple[Column, Column]:
+    """Number of rows and of flagged rows; each row stands for ``weight`` rows if that is named."""
+    hit = F.col(flag).cast("bigint")
+    if weight is None:
+        return txns(), F.sum(hit)
+    return F.sum(weight), F.sum(hit * F.col(weight))
+
+
 def chi_square(
-    fact: DataFrame, dimension: str, flag: str = "is_fraud", with_p: bool = True
+    fact: DataFrame,
+    dimension: str,
+    flag: str = "is_fraud",
+    with_p: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """A6 and A7. Independence of a label and the flag, from one grouped count.
 
@@ -224,9 +236,8 @@ def chi_square(
     a validity mark, since the approximation needs more than five everywhere.
     """
     rows = fact.where(F.col(dimension).isNotNull())
-    table = rows.groupBy(dimension).agg(
-        txns().alias("_n"), F.sum(F.col(flag).cast("bigint")).alias("_bad")
-    )
+    n, hits = _rows_and_hits(flag, weight)
+    table = rows.groupBy(dimension).agg(n.alias("_n"), hits.alias("_bad"))
     cells = table.select(
         F.col("_n"),
         F.inline(
@@ -277,11 +288,14 @@ def chi_square(
 
 
 def association_strength(
-    fact: DataFrame, dimensions: Sequence[str] = ("part_of_day", "amount_band")
+    fact: DataFrame,
+    dimensions: Sequence[str] = ("part_of_day", "amount_band"),
+    weight: str | None = None,
 ) -> DataFrame:
     """A7. Cramer's V per dimension and its ratio to the first one."""
     every = reduce(
-        DataFrame.unionByName, [chi_square(fact, d, with_p=False) for d in dimensions]
+        DataFrame.unionByName,
+        [chi_square(fact, d, with_p=False, weight=weight) for d in dimensions],
     )
     # one row per dimension
     base = F.max(F.when(F.col("dimension") == dimensions[0], F.col("cramers_v"))).over(whole())
@@ -295,9 +309,12 @@ def association_strength(
     )
 
 
-def rate_by(fact: DataFrame, dimension: str = "part_of_day") -> DataFrame:
+def rate_by(
+    fact: DataFrame, dimension: str = "part_of_day", weight: str | None = None
+) -> DataFrame:
     """A8. Fraud rate per label, 3 decimals."""
-    base = fact.groupBy(dimension).agg(txns().alias("_n"), frauds().alias("_bad"))
+    n, hits = _rows_and_hits("is_fraud", weight)
+    base = fact.groupBy(dimension).agg(n.alias("_n"), hits.alias("_bad"))
     rate = F.col("_bad").cast("double") / F.col("_n") * F.lit(100.0)
     return base.select(dimension, round_half_even(rate, 3).alias("fraud_rate_pct")).orderBy(
         dimension
@@ -305,10 +322,11 @@ def rate_by(fact: DataFrame, dimension: str = "part_of_day") -> DataFrame:
 
 
 def wilson_interval(
-    fact: DataFrame, by: Sequence[str] = (), z: float = S.WILSON_Z
+    fact: DataFrame, by: Sequence[str] = (), z: float = S.WILSON_Z, weight: str | None = None
 ) -> DataFrame:
     """A9. Wilson score interval of the fraud rate, overall or per group."""
-    base = fact.groupBy(*by).agg(txns().alias("n"), frauds().alias("successes"))
+    rows, hits = _rows_and_hits("is_fraud", weight)
+    base = fact.groupBy(*by).agg(rows.alias("n"), hits.alias("successes"))
     n = F.col("n").cast("double")
     p = F.col("successes").cast("double") / n
     zz = F.lit(z * z)

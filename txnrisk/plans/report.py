@@ -11,6 +11,9 @@ from txnrisk.operators import significance as A, thresholds as X
 from txnrisk.sources.workspace import settled
 
 
+ROWS = "_rows"
+
+
 def _nested(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias(name))
 
@@ -21,18 +24,48 @@ def _listed(df: DataFrame, name: str, first: str) -> DataFrame:
     return df.agg(F.sort_array(F.collect_list(ordered)).alias(name))
 
 
+def _label_cube(fact: DataFrame) -> DataFrame:
+    """Counts per label pair and class, as weighted rows: one scan serves every test on labels."""
+    return fact.groupBy("part_of_day", "amount_band", "is_fraud").agg(F.count(F.lit(1)).alias(ROWS))
+
+
 def statistical_results(fact: DataFrame) -> DataFrame:
     """One row: each test a struct. Every part is already down to a handful of rows."""
-    best = settled(X.optimum(X.threshold_sweep(fact)))  # one row, used three times
+    costs = X.Costs()
+    best = settled(X.optimum(X.threshold_sweep(fact, costs=costs)))  # one row, used three times
     grid = settled(X.sensitivity(fact))  # nine rows
+    labels = settled(_label_cube(fact))
+    timing = settled(A.chi_square(labels, "part_of_day", weight=ROWS))
+    periods = A.rate_by(labels, "part_of_day", ROWS).where(F.col("part_of_day").isNotNull())
+    rates = periods.agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("part_of_day", "fraud_rate_pct")))).alias(
+            "fraud_rate_by_period"
+        )
+    )
+    strength = A.association_strength(labels, weight=ROWS).where("dimension = 'amount_band'")
+    assumed = F.struct(
+        F.lit(costs.review).alias("cost_per_review"),
+        F.lit(costs.decline).alias("cost_false_decline"),
+        F.lit(costs.recovery).alias("recovery_rate"),
+    )
+    stable = X.stability(grid)
     parts = [
         _nested(with_row(A.class_summary(fact), A.mann_whitney(fact)), "test1_amount"),
-        _nested(A.chi_square(fact, "part_of_day"), "test2_timing"),
-        _nested(A.chi_square(fact, "amount_band"), "test3_amount_band"),
-        _nested(A.wilson_interval(fact), "test4_fraud_rate_ci"),
-        _nested(best, "test5_threshold"),
+        _nested(with_row(timing, rates), "test2_timing"),
+        _nested(
+            with_row(
+                A.chi_square(labels, "amount_band", weight=ROWS),
+                strength.select(F.col("strength_vs_first").alias("strength_vs_timing")),
+            ),
+            "test3_amount_band",
+        ),
+        _nested(A.wilson_interval(labels, weight=ROWS), "test4_fraud_rate_ci"),
+        _nested(best.withColumn("assumptions", assumed), "test5_threshold"),
         _nested(
-            with_row(X.stability(grid), _listed(grid, "scenarios", "review_cost")),
+            with_row(
+                stable.withColumn("threshold_range", F.array("lowest", "highest")),
+                _listed(grid, "scenarios", "review_cost"),
+            ),
             "test6_sensitivity",
         ),
         _nested(

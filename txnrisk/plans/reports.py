@@ -11,6 +11,7 @@ from txnrisk.plans import slices
 from txnrisk.plans.report import statistical_results
 from txnrisk.plans.star import Star, build_star
 from txnrisk.sources import files
+from txnrisk.sources.workspace import run_folder
 
 
 def report_slices(star: Star) -> dict[str, DataFrame]:
@@ -31,16 +32,23 @@ def report_slices(star: Star) -> dict[str, DataFrame]:
     }
 
 
-def run(raw: DataFrame, folder: str) -> Star:
-    """Build the star under ``folder`` and write audit, CSV twins, slices and results beside it."""
-    star = build_star(raw, f"{folder}/star_schema")
-    typed = quality.typed(quality.rename_and_prune(raw))
-    files.write_csv(quality.audit(typed), f"{folder}/data_quality_audit")
-    for name, table in star.tables().items():
-        files.write_csv(table, f"{folder}/csv/{name}")
-    for name, table in report_slices(star).items():
-        files.write_csv(table, f"{folder}/slices/{name}")
-    files.write_json(statistical_results(star.fact), f"{folder}/slices/stats")
+def run(raw: DataFrame, folder: str, quarantine: bool = False) -> Star:
+    """Build the star under ``folder`` and write audit, CSV twins, slices and results beside it.
+
+    Intermediate tables live in one run folder, which is dropped at the end. With ``quarantine``
+    rows that do not convert go to ``<folder>/quarantine`` instead of stopping the run.
+    """
+    with run_folder(raw.sparkSession):
+        aside = f"{folder}/quarantine" if quarantine else None
+        star = build_star(raw, f"{folder}/star_schema", quarantine=aside)
+        renamed = quality.rename_and_prune(raw)
+        typed = quality.typed_with_quarantine(renamed)[0] if quarantine else quality.typed(renamed)
+        files.write_csv(quality.audit(typed), f"{folder}/data_quality_audit")
+        for name, table in star.tables().items():
+            files.write_csv(table, f"{folder}/csv/{name}")
+        for name, table in report_slices(star).items():
+            files.write_csv(table, f"{folder}/slices/{name}")
+        files.write_json(statistical_results(star.fact), f"{folder}/slices/stats")
     return star
 
 
@@ -50,9 +58,10 @@ def main() -> None:
     parser.add_argument("--raw", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    parser.add_argument("--quarantine", action="store_true", help="set aside rows that do not convert")
     options = parser.parse_args()
     spark = SparkSession.builder.appName("txnrisk").getOrCreate()
-    run(files.read_daily_files(spark, options.raw, options.format), options.out)
+    run(files.read_daily_files(spark, options.raw, options.format), options.out, options.quarantine)
     spark.stop()
 
 

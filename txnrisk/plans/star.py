@@ -30,9 +30,18 @@ class Star:
         )
 
 
-def stage_clean(raw: DataFrame, folder: str) -> DataFrame:
-    """Cleaned rows as a written table: the feature windows read them more than once."""
-    files.write_parquet(quality.clean(raw), folder)
+def stage_clean(raw: DataFrame, folder: str, quarantine: str | None = None) -> DataFrame:
+    """Cleaned rows as a written table: the feature windows read them more than once.
+
+    A value that does not convert stops the job, or with ``quarantine`` sends its row, as it came,
+    to that folder.
+    """
+    if quarantine:
+        rows, rejected = quality.typed_with_quarantine(quality.rename_and_prune(raw))
+        files.write_parquet(rejected, quarantine)
+        files.write_parquet(quality.clean_typed(rows), folder)
+    else:
+        files.write_parquet(quality.clean(raw), folder)
     return raw.sparkSession.read.schema(CLEAN).parquet(folder)
 
 
@@ -55,10 +64,10 @@ def build_from_clean(
 
 
 def build_star(
-    raw: DataFrame, folder: str, daily_folders: bool = True
+    raw: DataFrame, folder: str, daily_folders: bool = True, quarantine: str | None = None
 ) -> Star:
     """Raw transactions to a written star schema."""
-    rows = stage_clean(raw, f"{folder}/clean")
+    rows = stage_clean(raw, f"{folder}/clean", quarantine)
     return build_from_clean(rows, folder, daily_folders)
 
 

@@ -9,12 +9,24 @@ from txnrisk.operators.quality import SOURCE_FILE
 
 
 def read_daily_files(spark: SparkSession, folder: str, file_format: str = "parquet") -> DataFrame:
-    """All daily raw files with the file each row came from, which orders duplicates."""
-    scan = spark.read.schema(S.RAW)
+    """The raw columns of all daily files, with the file each row came from, which orders duplicates.
+
+    Columns are bound by name. Parquet keeps its own types, so ids may be text; CSV stays text. The
+    conversion, which stops at or sets aside values that do not fit, is ``quality.typed`` or
+    ``quality.typed_with_quarantine``.
+    """
+    names = S.RAW.fieldNames()
     if file_format == "csv":
-        scan = scan.option("header", True)
-    rows = scan.format(file_format).load(folder)
-    return rows.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
+        text = T.StructType([T.StructField(n, T.StringType()) for n in _header(spark, folder) or names])
+        rows = spark.read.schema(text).options(header=True, enforceSchema=False).csv(folder)
+    else:
+        rows = spark.read.format(file_format).load(folder)
+    return rows.select(*names, F.col("_metadata.file_path").alias(SOURCE_FILE))
+
+
+def _header(spark: SparkSession, folder: str) -> list[str]:
+    """Column names of the first CSV file, in its order; files in another order fail the scan."""
+    return spark.read.options(header=True, recursiveFileLookup=True).csv(folder).columns
 
 
 def write_daily_files(raw: DataFrame, folder: str) -> None:
@@ -63,8 +75,11 @@ def write_csv(df: DataFrame, folder: str) -> None:
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Typed CSV scan; a value that does not fit its declared type fails the job."""
-    return spark.read.schema(schema).options(mode="FAILFAST", **CSV_OPTIONS).csv(folder)
+    """Typed CSV scan, columns bound by header; a value that does not fit its type fails the job."""
+    found = _header(spark, folder) or schema.fieldNames()
+    own = T.StructType([schema[n] for n in found])
+    options = {"mode": "FAILFAST", "enforceSchema": False, **CSV_OPTIONS}
+    return spark.read.schema(own).options(**options).csv(folder).select(schema.fieldNames())
 
 
 def write_json(result: DataFrame, folder: str) -> None:

@@ -1,21 +1,34 @@
-"""Idempotent daily landing: days that are already there are left alone."""
+"""Idempotent daily landing: days that are already there are left alone.
+
+Rows without a time land in a day of their own (``UNDATED``). A day counts as landed once its number
+is in the folder's manifest, which is written after the rows; a day that a broken run left half
+written is therefore replaced by the next run.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.dates import date_key, day
 
 
+UNDATED = 0
+MANIFEST = "_landed"  # scans of the folder pass over names with an underscore
+DAY = "date_key int"
+
+
+def landing_day() -> Column:
+    return F.coalesce(date_key(day(F.col("TX_DATETIME"))), F.lit(UNDATED))
+
+
 def landed_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Days present in a landing folder, from the names of its partition folders."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    """Days that a landing folder holds completely."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = store.listStatus(path) if store.exists(path) else []
-    names = [status.getPath().getName() for status in found]
-    days = [(int(n.split("=")[1]),) for n in names if n.startswith("date_key=")]
-    return spark.createDataFrame(days, "date_key int")
+    if not store.exists(path):
+        return spark.createDataFrame([], DAY)
+    return spark.read.schema(DAY).parquet(f"{folder}/{MANIFEST}").distinct()
 
 
 def read_landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,24 +36,27 @@ def read_landed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def land_new_days(raw: DataFrame, folder: str) -> None:
-    """Append the days of ``raw`` that the folder lacks. A second run adds nothing."""
-    dated = raw.withColumn("date_key", date_key(day(F.col("TX_DATETIME"))))
+    """Add the days of ``raw`` that the folder lacks. A second run adds nothing."""
+    dated = raw.withColumn("date_key", landing_day())
     present = landed_days(raw.sparkSession, folder)
-    missing = dated.join(F.broadcast(present), "date_key", "left_anti")  # one row per calendar day
-    _write(missing, folder, "append")
+    _write(dated.join(F.broadcast(present), "date_key", "left_anti"), folder)  # one row per calendar day
 
 
 def replace_days(raw: DataFrame, folder: str) -> None:
     """Rewrite exactly the days found in ``raw``; running it again gives the same folder."""
-    dated = raw.withColumn("date_key", date_key(day(F.col("TX_DATETIME"))))
-    _write(dated, folder, "overwrite")
+    _write(raw.withColumn("date_key", landing_day()), folder)
 
 
-def _write(dated: DataFrame, folder: str, mode: str) -> None:
+def _write(dated: DataFrame, folder: str) -> None:
+    """Write the rows, then the days, one row each, into the manifest."""
+    days = dated.select("date_key").distinct().coalesce(1).persist()
+    days.count()  # before the rows arrive, since the rows' own manifest decides which days are new
     (
         dated.repartitionByRange("date_key", "TX_DATETIME", "TRANSACTION_ID")
-        .write.mode(mode)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date_key")
         .parquet(folder)
     )
+    days.write.mode("append").parquet(f"{folder}/{MANIFEST}")
+    days.unpersist()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from txnrisk import schema as S
-from txnrisk.functions.dates import date_key, day
+from txnrisk.sources.landing import landing_day
 
 
 def land_stream(spark: SparkSession, inbox: str, folder: str, progress: str) -> None:
@@ -16,7 +16,7 @@ def land_stream(spark: SparkSession, inbox: str, folder: str, progress: str) ->
     """
     arrivals = spark.readStream.schema(S.RAW).option("recursiveFileLookup", True).parquet(inbox)
     query = (
-        arrivals.withColumn("date_key", date_key(day(F.col("TX_DATETIME"))))
+        arrivals.withColumn("date_key", landing_day())
         .writeStream.format("parquet")
         .partitionBy("date_key")
         .option("path", folder)
