@@ -10,7 +10,7 @@ import pytest
 
 from txnrisk.llm import boosted_trees, quality_classifier, quality_rules
 from txnrisk.llm.docstats import COUNTS, FEATURES, statistics
-from txnrisk.llm.labelled import bounded_sample, training_labels
+from txnrisk.llm.labelled import bounded_sample, document_statistics, training_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,8 +149,9 @@ def test_rules(corpus):
 
 def test_classifier(corpus):
     docs, labels, rows = corpus
-    model = quality_classifier.fit(docs, labels)
-    got = quality_classifier.score_documents(docs, model).collect()
+    stats = document_statistics(docs)
+    model = quality_classifier.fit(stats, labels)
+    got = quality_classifier.score_documents(stats, model).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     by_id = {r["id"]: r["score"] for r in got if r["id"] not in (5, 6)}
     right = [(by_id[i] >= 0.7) == (i % 4 > 0) for i in range(1_200) if i not in (5, 6) and (held_out(i) or i >= 900)]
@@ -180,10 +181,11 @@ def test_density_differences_by_solving():
 
 def test_classifier_without_labels(spark, corpus):
     docs, labels, _ = corpus
-    one = quality_classifier.fit(docs, labels.filter("quality = 1"))
-    none = quality_classifier.fit(docs.limit(0), labels.limit(0))
+    stats = document_statistics(docs)
+    one = quality_classifier.fit(stats, labels.filter("quality = 1"))
+    none = quality_classifier.fit(document_statistics(docs.limit(0)), labels.limit(0))
     assert one.only > 0.9 and none.only == 0.5
-    assert quality_classifier.score_documents(docs.limit(0), none).count() == 0
-    assert {r["score"] for r in quality_classifier.score_documents(docs.limit(5), none).collect()} == {0.5}
+    assert quality_classifier.score_documents(stats.limit(0), none).count() == 0
+    assert {r["score"] for r in quality_classifier.score_documents(stats.limit(5), none).collect()} == {0.5}
     trees = quality_rules.fit(docs.limit(0), labels.limit(0))
     assert quality_rules.judge_documents(docs.limit(0), trees).count() == 0

@@ -35,13 +35,29 @@ def bounded_sample(labels: DataFrame, per_class: int) -> DataFrame:
     return each[0].union(each[1])
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(label, one column per feature) of the documents that ``labels`` names, as a written table."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, one column per feature) of all documents, as a written table.
+
+    A hundred bytes a document: what is joined, fitted and scored afterwards never holds texts.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(columns: list[list]) -> list[list]:
-        found, texts = columns
-        return [found, *map(list, zip(*(statistics(t)[1] for t in texts)))]
+        ids, texts = columns
+        return [ids, *map(list, zip(*(statistics(t)[1] for t in texts)))]
+
+    schema = f"id {kind}, " + ", ".join(f"{f} double" for f in FEATURES)
+    return settled(map_texts(docs, [F.col(id_col).alias("id"), raw_text(text_col)], schema, rows))
+
 
+def sampled_statistics(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(label, one column per feature) of a bounded sample (id, label), which is broadcast."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(sample), "id")
+
+    def rows(columns: list[list]) -> list[list]:
+        found, some = columns
+        return [found, *map(list, zip(*(statistics(t)[1] for t in some)))]
+
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    return settled(map_texts(texts.join(labels, "id"), [F.col("label"), raw_text("text")], schema, rows))
+    return settled(map_texts(chosen, [F.col("label"), raw_text("text")], schema, rows))

@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from txnrisk.llm.docstats import FEATURES, statistics
-from txnrisk.llm.labelled import labelled_statistics, training_labels
-from txnrisk.llm.texts import map_texts, raw_text
+from txnrisk.llm.labelled import training_labels
+from txnrisk.llm.texts import raw_text
 
 WIDTH = len(FEATURES)
 
@@ -72,21 +73,20 @@ def from_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrin
 
 
 def fit(
-    docs: DataFrame,
+    stats: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
-    text_col: str = "text",
     label_col: str = "quality",
     shrink: float = 0.1,
     cut_score: float = 0.7,
     tail: float = 0.001,
 ) -> Discriminant:
-    """Fits on every labelled row that is not held out, see ``training_labels``.
+    """Fits ``document_statistics`` of every labelled row that is not held out, see ``training_labels``.
 
     Means and products are aggregated in Spark; two rows of fixed width reach the driver, then two
     quantiles of the difference. Without rows of both classes everything gets the smoothed share.
     """
-    stats = labelled_statistics(docs, training_labels(labels, id_col, label_col), id_col, text_col)
+    stats = stats.join(training_labels(labels, id_col, label_col), "id").select("label", *FEATURES)
     pairs = [(i, j) for i in range(WIDTH) for j in range(i, WIDTH)]
     sums = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
     sums += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs]
@@ -108,8 +108,7 @@ def _cut(stats: DataFrame, model: Discriminant, tail: float) -> float:
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
-            made = [batch.column(0), pa.array(model.difference(x))]
+            made = [batch.column(0), pa.array(model.difference(_matrix(batch)))]
             yield pa.RecordBatch.from_arrays(made, names=["label", "gap"])
 
     gaps = stats.mapInArrow(differences, "label int, gap double")
@@ -118,18 +117,25 @@ def _cut(stats: DataFrame, model: Discriminant, tail: float) -> float:
     return (q[0][1] + q[1][0]) / 2
 
 
-def score_documents(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score double) for every row; a null text scores as an empty one.
+def score_documents(stats: DataFrame, model: Discriminant) -> DataFrame:
+    """(id, score double) for every row of ``document_statistics``; an empty text has a score too.
 
     Labels, language, source and id are no inputs. Repeated rows stay; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = stats.schema["id"].dataType
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["id", "score"])
+
+    schema = StructType([StructField("id", kind), StructField("score", DoubleType())])
+    return stats.select("id", *FEATURES).mapInArrow(scores, schema)
 
-    def rows(columns: list[list]) -> list[list]:
-        ids, texts = columns
-        return [ids, _scores(texts, model).tolist()]
 
-    return map_texts(docs, [F.col(id_col).alias("id"), raw_text(text_col)], f"id {kind}, score double", rows)
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The feature columns, which follow the first column, as rows."""
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
 
 
 def score_of(text_col: str, model: Discriminant) -> Column:
@@ -137,10 +143,6 @@ def score_of(text_col: str, model: Discriminant) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(texts, model))
+        return pd.Series(model.score(np.array([statistics(t)[1] for t in texts]).reshape(-1, WIDTH)))
 
     return scored(raw_text(text_col))
-
-
-def _scores(texts, model: Discriminant) -> np.ndarray:
-    return model.score(np.array([statistics(t)[1] for t in texts]).reshape(-1, WIDTH))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from txnrisk.llm.boosted_trees import Trees, fit as fit_trees
 from txnrisk.llm.docstats import COUNTS, FEATURES, statistics
-from txnrisk.llm.labelled import bounded_sample, labelled_statistics, training_labels
+from txnrisk.llm.labelled import bounded_sample, sampled_statistics, training_labels
 from txnrisk.llm.texts import map_texts, raw_text
 
 LEAST_WORDS = 10
@@ -32,7 +32,7 @@ def fit(
     """Trains on at most ``per_class`` documents of either label (see ``bounded_sample``), the only rows
     that reach the driver, as numbers. Without labels of both classes every document scores the smoothed share."""
     wanted = bounded_sample(training_labels(labels, id_col, label_col), per_class)
-    rows = labelled_statistics(docs, F.broadcast(wanted), id_col, text_col).orderBy("label", *FEATURES).toPandas()
+    rows = sampled_statistics(docs, wanted, id_col, text_col).toPandas().sort_values(["label", *FEATURES])
     x = rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES))
     return fit_trees(x, rows["label"].to_numpy(float), [-1 if f in FALLING else 0 for f in FEATURES])
 

@@ -20,7 +20,7 @@ from txnrisk.llm import (
     url_filters,
 )
 from txnrisk.llm.docstats import COUNTS
-from txnrisk.llm.labelled import is_held_out
+from txnrisk.llm.labelled import document_statistics, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,9 +116,9 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    model = quality_classifier.fit(docs, table(spark, folder, "labels"), cut_score=GOOD)
-    scored = quality_classifier.score_documents(docs, model)
+    stats = document_statistics(table(spark, folder, "documents"))
+    model = quality_classifier.fit(stats, table(spark, folder, "labels"), cut_score=GOOD)
+    scored = quality_classifier.score_documents(stats, model)
     return scored.select(
         F.col("id").alias("doc_id"),
         is_held_out("id").alias("held_out"),
