@@ -120,6 +120,23 @@ def typed(raw: DataFrame) -> DataFrame:
     return quality.typed(quality.rename_and_prune(raw))
 
 
+def with_gaps(raw: DataFrame) -> DataFrame:
+    """Events of which some lack a time or an amount and a third has an amount of zero or less."""
+    i = F.col("TRANSACTION_ID")
+    amount = F.when(i % 3 == 0, -F.col("TX_AMOUNT")).when(i % 3 != 1, F.col("TX_AMOUNT")).otherwise(0.0)
+    amount = F.when(i % 6 == 1, F.col("TX_AMOUNT")).otherwise(amount)
+    return raw.withColumns(
+        {
+            "TX_AMOUNT": F.when(i % 101 != 0, amount),
+            "TX_DATETIME": F.when(i % 97 != 0, F.col("TX_DATETIME")),
+        }
+    )
+
+
+def on_gaps(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: shown(build(typed(with_gaps(raw_events(spark, folder)))))
+
+
 def on_lineitem(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: shown(build(typed(sample_tables.lineitem_as_raw(spark, folder))))
 
@@ -136,6 +153,9 @@ def _cleaning() -> dict[str, Query]:
         "t04_keep_first": on_raw(lambda raw: quality.keep_first(typed(raw))),
         "t04_keep_first_lineitem": on_lineitem(quality.keep_first),
         "t05_positive_amounts": on_raw(quality.clean),
+        "t03_quality_audit_gaps": on_gaps(quality.audit),
+        "t04_keep_first_gaps": on_gaps(quality.keep_first),
+        "t05_positive_amounts_gaps": on_gaps(quality.clean_typed),
         "t06_date_key_hour": on_clean(features.time_features, "date_key", "txn_hour"),
         "t07_part_of_day": on_clean(features.time_features, "txn_hour", "part_of_day"),
         "t08_amount_band": on_clean(features.amount_bands, "amount", "amount_band"),
@@ -177,6 +197,7 @@ def _dimensions() -> dict[str, Query]:
             )
         ),
         "d06_dim_amount_band": on_fact(dims.build_dim_amount_band),
+        "d06_dim_amount_band_orders": on_orders(lambda s: dims.build_dim_amount_band(s.fact)),
     }
 
 
@@ -363,6 +384,7 @@ def _questions() -> dict[str, Query]:
         "q02_class_profile": on_fact(portfolio.class_profile),
         "q03_loss_by_type": on_fact(portfolio.loss_by_type),
         "q04_band_lift": on_fact(portfolio.band_lift),
+        "q04_band_lift_orders": on_orders(lambda s: portfolio.band_lift(s.fact)),
         "q05_band_coverage": on_fact(portfolio.band_coverage),
         "q06_hourly_rate": on_fact(portfolio.hourly_rate),
         "q07_weekday_rate": on_star(lambda s: portfolio.weekday_rate(s.fact, s.date)),
@@ -370,6 +392,7 @@ def _questions() -> dict[str, Query]:
         "q09_concentration": on_star(lambda s: terminals.concentration(s.terminal)),
         "q10_tier_queues": on_star(lambda s: terminals.tier_queues(s.terminal)),
         "q11_attack_windows": on_fact(terminals.attack_windows),
+        "q11_attack_windows_top3": on_fact(lambda fact: terminals.attack_windows(fact, limit=3)),
         "q12_segment_risk": on_star(lambda s: customers.segment_risk(s.customer)),
         "q13_baseline_ratio": on_fact(customers.baseline_ratio),
         "q14_repeat_victims": on_star(lambda s: customers.repeat_victims(s.customer)),
@@ -604,6 +627,7 @@ def _slices() -> dict[str, Query]:
         "r05_hour": on_fact(slices.hour_slice),
         "r06_watchlist": on_star(lambda s: slices.watchlist(s.terminal)),
         "r06_watchlist_slice": on_star(lambda s: slices.watchlist(s.terminal, 300)),
+        "r06_watchlist_top20": on_star(lambda s: slices.watchlist(s.terminal, 20)),
         "r07_segment": on_star(lambda s: slices.segment_slice(s.customer)),
         "r08_threshold_view": on_fact(lambda fact: slices.threshold_view(X.threshold_sweep(fact))),
         "r09_stratified_extract": extract(40_000),
@@ -641,6 +665,9 @@ def _slices() -> dict[str, Query]:
                 "lowest_bands_pct_of_txns",
             )
         ),
+        "r16_watchlist_view_top5": on_star(
+            lambda s: slices.watchlist_view(slices.watchlist(s.terminal, 30), S.RISK_TIERS[:2], 5)
+        ),
         "r16_watchlist_view": on_star(
             lambda s: slices.watchlist_view(slices.watchlist(s.terminal, 300), S.RISK_TIERS[:2])
         ),
@@ -657,6 +684,9 @@ def _slices() -> dict[str, Query]:
             lambda s: digits(slices.executive_view(s, SELECTION), 9, *rates)
         ),
         "r19_terminal_table": on_star(lambda s: digits(slices.terminal_table(s), 9, "fraud_rate_pct")),
+        "r19_terminal_pareto_top10": on_star(
+            lambda s: digits(slices.terminal_pareto_top(s, 10), 9, "cumulative_loss_pct")
+        ),
         "r19_terminal_pareto_top": on_star(
             lambda s: digits(slices.terminal_pareto_top(s), 9, "cumulative_loss_pct")
         ),

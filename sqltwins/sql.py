@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqltwins.base import RAW_LINEITEM, RAW_ORDERS, with_tables
+from sqltwins.base import RAW_EVENTS, RAW_LINEITEM, RAW_ORDERS, with_tables
 from txnrisk import schema as S
 
 FACT_COLUMNS = (
@@ -27,6 +27,7 @@ DATE_OUTPUTS = {
     "s10_enriched_view": "date",
     "s11_slice_reader": "txn_date",
     "q11_attack_windows": "first_fraud_day last_fraud_day",
+    "q11_attack_windows_top3": "first_fraud_day last_fraud_day",
     "q16_daily_trend": "txn_date",
     "q17_weekly_movement": "week_start",
     "q17_weekly_movement_orders": "week_start",
@@ -84,6 +85,17 @@ def build_sql() -> dict[str, str]:
         f"SELECT {CLEAN_COLUMNS} FROM first_rows", raw=RAW_LINEITEM, upto="first_rows"
     )
     q["t05_positive_amounts"] = t(f"SELECT {CLEAN_COLUMNS} FROM clean", upto="clean")
+    # some rows lack a time or an amount, a third has an amount of zero or less
+    gaps = RAW_EVENTS.replace("raw AS (", "whole AS (") + """,
+raw AS (
+  SELECT transaction_id, CASE WHEN transaction_id % 97 <> 0 THEN txn_datetime END AS txn_datetime, customer_id, terminal_id,
+         CASE WHEN transaction_id % 101 <> 0 THEN
+           CASE WHEN transaction_id % 6 = 1 OR transaction_id % 3 = 2 THEN raw_amount
+                WHEN transaction_id % 3 = 0 THEN -raw_amount ELSE 0 END END AS raw_amount, fraud_scenario
+  FROM whole)"""
+    q["t03_quality_audit_gaps"] = t(audit, raw=gaps, upto="typed")
+    q["t04_keep_first_gaps"] = q["t04_keep_first"].replace(RAW_EVENTS, gaps)
+    q["t05_positive_amounts_gaps"] = t(f"SELECT {CLEAN_COLUMNS} FROM clean", raw=gaps, upto="clean")
     for key, columns in {
         "t06_date_key_hour": "date_key, txn_hour",
         "t07_part_of_day": "txn_hour, part_of_day",
@@ -121,6 +133,7 @@ def build_sql() -> dict[str, str]:
         "SELECT terminal_id, fraud_rate_pct, risk_tier FROM dim_terminal", upto="dim_terminal"
     )
     q["d06_dim_amount_band"] = t("SELECT * FROM dim_amount_band")
+    q["d06_dim_amount_band_orders"] = t("SELECT * FROM dim_amount_band", raw=RAW_ORDERS)
 
     # --- sources and sinks: the table that makes the round trip --------------------------------
     fact = t(f"SELECT {FACT_COLUMNS} FROM fact", upto="fact")
@@ -199,6 +212,10 @@ def build_sql() -> dict[str, str]:
         upto="fact",
         extra=", ".join([RANKS, _chi("part_of_day"), _chi("amount_band", "_b"), SWEEP, BEST, GRID]),
     )
+    q["q04_band_lift_orders"] = q["q04_band_lift"].replace(RAW_EVENTS, RAW_ORDERS)
+    q["q11_attack_windows_top3"] = q["q11_attack_windows"].replace("LIMIT 15", "LIMIT 3")
+    q["r16_watchlist_view_top5"] = q["r16_watchlist_view"].replace("LIMIT 300", "LIMIT 30").replace("LIMIT 60", "LIMIT 5")
+    q["r19_terminal_pareto_top10"] = q["r19_terminal_pareto_top"].replace("LIMIT 100", "LIMIT 10")
     for key, columns in DATE_OUTPUTS.items():
         as_text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns.split())
         q[key] = f"SELECT * REPLACE ({as_text})\nFROM ({q[key]})"
@@ -912,7 +929,7 @@ def _slices(q: dict[str, str]) -> None:
     q["r05_hour"] = t(
         f"""SELECT txn_hour, part_of_day, count(*) AS txns, {BAD} AS fraud_txns, {rate} AS fraud_rate_pct
             FROM fact GROUP BY txn_hour, part_of_day""", upto="fact")
-    for key, limit in (("r06_watchlist", 250), ("r06_watchlist_slice", 300)):
+    for key, limit in (("r06_watchlist", 250), ("r06_watchlist_slice", 300), ("r06_watchlist_top20", 20)):
         q[key] = t(
             f"""SELECT terminal_id, total_txns, fraud_txns, fraud_rate_pct, fraud_volume, unique_customers, risk_tier
                 FROM dim_terminal WHERE fraud_txns > 0 ORDER BY fraud_volume DESC, terminal_id LIMIT {limit}""",
