@@ -24,7 +24,9 @@ HASH_DIGITS = 13  # 52 bits, exact in a double
 CELL_DIGITS = 4
 
 
-def _placed_values(fact: DataFrame, value: str, flag: str) -> DataFrame:
+def placed_values(
+    fact: DataFrame, value: str = "amount", flag: str = "is_fraud"
+) -> DataFrame:
     """Distinct values with counts per class and how many rows of each class lie below."""
     bad = F.col(flag).cast("bigint")
     counted = fact.groupBy(value).agg(F.count(F.lit(1)).alias("_n"), F.sum(bad).alias("_bad"))
@@ -42,9 +44,14 @@ def _median_places(total: str, name: str) -> dict[str, Column]:
     return {f"_lo_{name}": F.floor(last / 2), f"_hi_{name}": F.ceil(last / 2)}
 
 
-def class_summary(fact: DataFrame, value: str = "amount", flag: str = "is_fraud") -> DataFrame:
-    """A1. Exact medians, means and the ratio of means."""
-    placed = _placed_values(fact, value, flag)
+def class_summary(
+    fact: DataFrame,
+    value: str = "amount",
+    flag: str = "is_fraud",
+    placed: DataFrame | None = None,
+) -> DataFrame:
+    """A1. Exact medians, means and the ratio of means. ``placed`` are ``placed_values`` at hand."""
+    placed = placed_values(fact, value, flag) if placed is None else placed
     number = F.col(value).cast("double")
     placed = placed.withColumn("_value", number)
     bad = values_at(
@@ -178,14 +185,18 @@ def _kurtosis_score() -> Column:
 
 
 def mann_whitney(
-    fact: DataFrame, value: str = "amount", flag: str = "is_fraud", with_p: bool = True
+    fact: DataFrame,
+    value: str = "amount",
+    flag: str = "is_fraud",
+    with_p: bool = True,
+    placed: DataFrame | None = None,
 ) -> DataFrame:
     """A4 and A5. U of the flagged class with mid-ranks, rank-biserial effect, normal p-value.
 
     Twice the rank sum is added as whole numbers, so U is exact. With an empty class the effect and
     the p-value are null.
     """
-    placed = _placed_values(fact, value, flag)
+    placed = placed_values(fact, value, flag) if placed is None else placed
     below = (F.col("_bad_below") + F.col("_good_below")).cast(WIDE)
     twice_rank = below * 2 + F.col("_n") + 1
     t = F.col("_n").cast("double")

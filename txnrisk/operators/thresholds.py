@@ -117,10 +117,13 @@ def net_benefit(costs_review: Column, costs_decline: Column, recovery: Column) -
 
 
 def threshold_sweep(
-    fact: DataFrame, thresholds: Sequence[float] = S.REVIEW_SWEEP, costs: Costs = Costs()
+    fact: DataFrame,
+    thresholds: Sequence[float] = S.REVIEW_SWEEP,
+    costs: Costs = Costs(),
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """X1 with X2. ``loss_prevented`` here is after recovery."""
-    base = sweep_totals(fact, thresholds)
+    """X1 with X2. ``loss_prevented`` here is after recovery. ``totals`` are ``sweep_totals`` at hand."""
+    base = sweep_totals(fact, thresholds) if totals is None else totals
     model = net_benefit(F.lit(costs.review), F.lit(costs.decline), F.lit(costs.recovery))
     hundred = F.lit(100.0)
     return base.select(
@@ -161,6 +164,7 @@ def sensitivity(
     reviews: Sequence[float] = S.REVIEW_COST_GRID,
     declines: Sequence[float] = S.DECLINE_COST_GRID,
     recovery: float = S.RECOVERY_RATE,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """X4. Optimum per cost pair, decided on the unrounded net; one scan for all pairs."""
     pairs = F.array(
@@ -170,7 +174,8 @@ def sensitivity(
             for b in declines
         ]
     )
-    grid = sweep_totals(fact, thresholds).select("*", F.inline(pairs))
+    base = sweep_totals(fact, thresholds) if totals is None else totals
+    grid = base.select("*", F.inline(pairs))
     net = net_benefit(F.col("review_cost"), F.col("false_decline_cost"), F.lit(recovery))["net"]
     best = (
         grid.withColumn("net", net)

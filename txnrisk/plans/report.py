@@ -30,10 +30,16 @@ def _label_cube(fact: DataFrame) -> DataFrame:
 
 
 def statistical_results(fact: DataFrame) -> DataFrame:
-    """One row: each test a struct. Every part is already down to a handful of rows."""
+    """One row: each test a struct. Every part is already down to a handful of rows.
+
+    The fact is read three times for the tests (labels, amounts, thresholds), and for its frauds once
+    more for each blind-spot table.
+    """
     costs = X.Costs()
-    best = settled(X.optimum(X.threshold_sweep(fact, costs=costs)))  # one row, used three times
-    grid = settled(X.sensitivity(fact))  # nine rows
+    totals = settled(X.sweep_totals(fact))  # one row per threshold
+    placed = A.placed_values(fact)
+    best = settled(X.optimum(X.threshold_sweep(fact, costs=costs, totals=totals)))  # one row
+    grid = settled(X.sensitivity(fact, totals=totals))  # nine rows
     labels = settled(_label_cube(fact))
     timing = settled(A.chi_square(labels, "part_of_day", weight=ROWS))
     periods = A.rate_by(labels, "part_of_day", ROWS).where(F.col("part_of_day").isNotNull())
@@ -50,7 +56,10 @@ def statistical_results(fact: DataFrame) -> DataFrame:
     )
     stable = X.stability(grid)
     parts = [
-        _nested(with_row(A.class_summary(fact), A.mann_whitney(fact)), "test1_amount"),
+        _nested(
+            with_row(A.class_summary(fact, placed=placed), A.mann_whitney(fact, placed=placed)),
+            "test1_amount",
+        ),
         _nested(with_row(timing, rates), "test2_timing"),
         _nested(
             with_row(

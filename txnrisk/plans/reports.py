@@ -11,12 +11,12 @@ from txnrisk.plans import slices
 from txnrisk.plans.report import statistical_results
 from txnrisk.plans.star import Star, build_star
 from txnrisk.sources import files
-from txnrisk.sources.workspace import run_folder
+from txnrisk.sources.workspace import run_folder, settled
 
 
 def report_slices(star: Star) -> dict[str, DataFrame]:
     """Every pre-aggregated slice a dashboard reads."""
-    sweep = X.threshold_sweep(star.fact)
+    totals = settled(X.sweep_totals(star.fact))
     return {
         "agg_band": slices.band_slice(star.fact),
         "agg_daily": slices.daily_slice(star.fact),
@@ -26,8 +26,8 @@ def report_slices(star: Star) -> dict[str, DataFrame]:
         "agg_segment": slices.segment_slice(star.customer),
         "top_terminals": slices.watchlist(star.terminal, 300),
         "pareto": slices.pareto_curve(star.terminal),
-        "thresholds": sweep,
-        "sensitivity": X.sensitivity(star.fact),
+        "thresholds": X.threshold_sweep(star.fact, totals=totals),
+        "sensitivity": X.sensitivity(star.fact, totals=totals),
         "amount_hist": slices.amount_histogram(star.fact),
     }
 
