@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from txnrisk.llm.texts import pieces_of
 
 LEAST = -(2**63)  # order of a null id
+SLICES_PER_TASK = 4  # slices are dealt by hash; several small ones fill tasks more evenly than one
 
 
 def map_with_next(
@@ -28,14 +29,15 @@ def map_with_next(
 
     The next document is the one with the next higher id (integers; nulls come first; repeated ids stand
     in the order of their texts), and the first one for the last. Ids are cut into as many slices as
-    there are shuffle partitions, by quantiles; a task sorts a slice and holds one document at a time. The first
+    there are shuffle partitions, times four, by quantiles; a task sorts a slice and holds one document at a time. The first
     document of every slice also goes to the slice before. Only one number per slice reaches the
     driver. A null text is an empty one.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
     keys = docs.select(key.alias("key"))
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = SLICES_PER_TASK * tasks
     shares = [i / wanted for i in range(1, wanted)]
     cuts = np.unique(keys.approxQuantile("key", shares, 1 / (4 * wanted)) if shares else [])
 
@@ -66,7 +68,7 @@ def map_with_next(
     dealt = (
         rows.select("id", "key", "text", F.explode(both).alias("to"))
         .select("to.slice", "to.extra", "id", "key", "text")
-        .repartition(max(1, len(filled)), "slice")
+        .repartition(max(1, min(tasks, len(filled))), "slice")
         .sortWithinPartitions("slice", "extra", "key", "text")
         .select("slice", "extra", "id", "text")
     )
