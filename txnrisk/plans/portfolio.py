@@ -7,11 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from txnrisk import schema as S
 from txnrisk.functions import labels
 from txnrisk.functions.money import (
-    cents,
     fraud_cents,
     fraud_cents_or_zero,
     frauds,
-    if_fraud,
     money,
     percent,
     ratio,

@@ -112,6 +112,7 @@ def hour_slice(fact: DataFrame) -> DataFrame:
     ).orderBy("txn_hour")
 
 
+# fixed values: columns of the watchlist, in published order
 WATCHLIST = (
     "terminal_id",
     "total_txns",

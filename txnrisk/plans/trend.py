@@ -8,7 +8,7 @@ from txnrisk.functions.dates import key_to_date
 from txnrisk.functions.money import money, percent, ratio
 from txnrisk.functions.one_row import with_row
 from txnrisk.functions.rounding import round_half_up as r
-from txnrisk.plans.portfolio import by_day, rate_pct
+from txnrisk.plans.portfolio import by_day
 
 
 def daily_trend(fact: DataFrame, window: int = 7) -> DataFrame:
