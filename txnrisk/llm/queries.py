@@ -104,15 +104,14 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = docs.withColumn("ids", unigram.ids_of("text", PIECES))
-    back = coded.withColumn("decoded", unigram.text_of("ids", PIECES))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.xxhash64("ids").alias("ids_hash"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    text = F.coalesce("text", F.lit(""))
+    told = {"n_bytes": F.octet_length(text), "text_hash": F.xxhash64(text)}
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumns(told)
+    coded = unigram.encode_documents(docs, PIECES, keep=tuple(told))
+    coded = coded.withColumns({"n_ids": F.size("ids").cast("long"), "ids_hash": F.xxhash64("ids")})
+    back = unigram.decode_documents(coded, PIECES, keep=("n_ids", "ids_hash", *told))
+    same = (F.octet_length("text") == F.col("n_bytes")) & (F.xxhash64("text") == F.col("text_hash"))
+    return back.select(F.col("id").alias("doc_id"), "n_ids", "ids_hash", same.alias("round_trip"))
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

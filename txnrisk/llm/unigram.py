@@ -8,16 +8,14 @@ Characters without a piece become their UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.chunks import ChunkTable
-from txnrisk.llm.piece_models import SPACE, Pieces, chunks_of, load_pieces
+from txnrisk.llm.piece_models import SPACE, chunks_of, load_pieces
 from txnrisk.llm.texts import map_texts
 
 LITERAL = "\udfff"  # stands for the space sign itself where a text holds it; no text can hold this
@@ -25,7 +23,7 @@ PENALTY = 10.0
 
 
 class Unigram:
-    """Encodes and decodes with the pieces and scores of a SentencePiece model."""
+    """Encodes with the pieces and scores of a SentencePiece model."""
 
     def __init__(self, path: str) -> None:
         pieces = load_pieces(path)
@@ -37,8 +35,7 @@ class Unigram:
         self.automaton.make_automaton()
         usual = [s for i in pieces.normal if (s := pieces.scores[i]) > -1e8]
         self.foreign = min(usual) - PENALTY
-        self.bytes = _bytes_of(pieces)
-        self.table = ChunkTable(self._solve)
+        self.table = ChunkTable(self._solve, limit=500_000)
 
     def best(self, word: str) -> tuple[float, list[int]]:
         """Score and ids of the best cut of a word; of equal cuts, the one with the longer last piece."""
@@ -85,57 +82,65 @@ class Unigram:
         self.table.settle()
         return [self.table.ids(r) for r in rows]
 
+
+class PieceDecoder:
+    """Texts of ids; needs the pieces alone."""
+
+    def __init__(self, path: str) -> None:
+        pieces = load_pieces(path)
+        self.bytes = [b""] * len(pieces.texts)  # control ids stand for nothing
+        for i in pieces.normal:
+            self.bytes[i] = pieces.texts[i].replace(SPACE, " ").encode()
+        for octet, i in pieces.octets.items():
+            self.bytes[i] = bytes([octet])
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids; the space that encoding puts first is taken off."""
         data = b"".join([self.bytes[i] for i in ids])
         return data.removeprefix(b" ").decode(errors="replace")
 
 
-def _bytes_of(pieces: Pieces) -> list[bytes]:
-    """What every id stands for; control ids stand for nothing."""
-    made = [b""] * len(pieces.texts)
-    for i in pieces.normal:
-        made[i] = pieces.texts[i].replace(SPACE, " ").encode()
-    for octet, i in pieces.octets.items():
-        made[i] = bytes([octet])
-    return made
-
-
 @lru_cache(maxsize=2)
 def unigram(path: str) -> Unigram:
     """One per worker process."""
     return Unigram(path)
 
 
-def ids_of(text_col: str, path: str) -> Column:
-    """Ids of a text column as an array; null and empty texts have none."""
-
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(unigram(path).encode(texts.tolist()))
+@lru_cache(maxsize=2)
+def decoder(path: str) -> PieceDecoder:
+    """One per worker process."""
+    return PieceDecoder(path)
 
-    return encoded(F.col(text_col).cast("string"))
 
+def encode_documents(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, ids array<int>, the columns of ``keep``) of whole texts.
 
-def text_of(ids_col: str, path: str) -> Column:
-    """Text of an id column; ids outside the vocabulary raise, null gives an empty text."""
+    Null and empty texts have no ids. Repeated rows stay, an empty table gives no rows.
+    """
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([unigram(path).decode([] if i is None else i) for i in ids], dtype=object)
+    def rows(columns: list[list]) -> list[list]:
+        ids, texts, *kept = columns
+        return [ids, unigram(path).encode(texts), *kept]
 
-    return decoded(F.col(ids_col))
+    source = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *map(F.col, keep)]
+    return map_texts(docs, source, _schema(docs, id_col, "ids array<int>", keep), rows)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of whole texts; repeated rows stay, an empty table gives no rows."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def decode_documents(
+    coded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, text, the columns of ``keep``); null ids give an empty text, ids outside the vocabulary fail."""
 
     def rows(columns: list[list]) -> list[list]:
-        ids, texts = columns
-        return [ids, unigram(path).encode(texts)]
+        names, ids, *kept = columns
+        return [names, [decoder(path).decode(i or []) for i in ids], *kept]
+
+    source = [F.col(id_col).alias("id"), F.col(ids_col), *map(F.col, keep)]
+    return map_texts(coded, source, _schema(coded, id_col, "text string", keep), rows)
+
 
-    source = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
-    return map_texts(docs, source, f"id {kind}, ids array<int>", rows)
+def _schema(df: DataFrame, id_col: str, made: str, keep: tuple[str, ...]) -> str:
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    return ", ".join([f"id {kinds[id_col]}", made, *(f"{c} {kinds[c]}" for c in keep)])
