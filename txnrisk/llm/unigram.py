@@ -8,6 +8,7 @@ Characters without a piece become their UTF-8 bytes.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import ahocorasick
@@ -35,41 +36,41 @@ class Unigram:
         self.automaton.make_automaton()
         usual = [s for i in pieces.normal if (s := pieces.scores[i]) > -1e8]
         self.foreign = min(usual) - PENALTY
-        self.table = ChunkTable(self._solve, limit=500_000)
+        self.table = ChunkTable(self._solve, limit=1_000_000)
 
     def best(self, word: str) -> tuple[float, list[int]]:
         """Score and ids of the best cut of a word; of equal cuts, the one with the longer last piece."""
-        score = [0.0] + [-np.inf] * len(word)
-        step: list[tuple[int, int] | None] = [None] * (len(word) + 1)  # (start, piece or -1)
-        at, single = 0, False
-
-        def close(upto: int) -> None:
-            """Characters that end before ``upto``: those without a piece of their own may be bytes."""
-            nonlocal at, single
-            while at < upto:
-                if not single and score[at] + self.foreign > score[at + 1]:
-                    score[at + 1], step[at + 1] = score[at] + self.foreign, (at, -1)
+        size = len(word)
+        score = [0.0] + [-math.inf] * size
+        start = [0] * (size + 1)  # where the best cut's last part begins
+        part = [-1] * (size + 1)  # its piece; none: a character as bytes
+        foreign, at, single = self.foreign, 0, False
+        for end, (piece, length, worth) in self.automaton.iter(word):
+            while at < end:  # characters passed: without a piece of their own they may be bytes
+                if not single and score[at] + foreign > score[at + 1]:
+                    score[at + 1], start[at + 1], part[at + 1] = score[at] + foreign, at, -1
                 at, single = at + 1, False
-
-        for end, (piece, size, worth) in self.automaton.iter(word):
-            if end > at:
-                close(end)
-            start = end + 1 - size
-            single = single or size == 1
-            if score[start] + worth > score[end + 1]:
-                score[end + 1], step[end + 1] = score[start] + worth, (start, piece)
-        close(len(word))
+            if length == 1:
+                single = True
+            begin = end + 1 - length
+            value = score[begin] + worth
+            if value > score[end + 1]:
+                score[end + 1], start[end + 1], part[end + 1] = value, begin, piece
+        while at < size:
+            if not single and score[at] + foreign > score[at + 1]:
+                score[at + 1], start[at + 1], part[at + 1] = score[at] + foreign, at, -1
+            at, single = at + 1, False
         ids: list[int] = []
-        place = len(word)
+        place = size
         while place:
-            start, piece = step[place]
-            if piece >= 0:
-                ids.append(piece)
+            if part[place] >= 0:
+                ids.append(part[place])
             else:
-                c = word[start:place].replace(LITERAL, SPACE)
+                c = word[start[place] : place].replace(LITERAL, SPACE)
                 ids += [self.octets[b] for b in reversed(c.encode())]
-            place = start
-        return score[-1], ids[::-1]
+            place = start[place]
+        ids.reverse()
+        return score[size], ids
 
     def _solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.best(SPACE + c)[1] for c in chunks]
