@@ -1,8 +1,9 @@
 """Document fingerprints as homomorphic multiset hashes of paragraphs.
 
 A paragraph (the text between two line feeds) hashes to a wide vector: 8 lanes of 64 bits from a
-cryptographic digest, and 128 lanes of 16 bits that count its three-word windows with signs. A fingerprint is
-the lane-wise sum over all paragraphs modulo 2**64 and 2**16. Sums don't depend on the order
+cryptographic digest, and 128 lanes of 32 bits that count its three-word windows with signs. A fingerprint is
+the lane-wise sum over all paragraphs modulo 2**64 and 2**32. A window takes two bytes at least, so no text that
+Spark can hold (2 GB) has a count of 2**31. Sums don't depend on the order
 of paragraphs, so texts with the same paragraphs have equal fingerprints; a paragraph is inserted or deleted by adding or
 subtracting its vector, without the rest of the text. Texts that share most windows have nearly parallel
 count lanes, whose cosine is the likeness of two fingerprints.
@@ -30,7 +31,7 @@ AT_ONCE = 1 << 16
 @dataclass
 class Vector:
     wide: np.ndarray  # uint64
-    count: np.ndarray  # uint16
+    count: np.ndarray  # uint32
 
     def __add__(self, other: Vector) -> Vector:
         return Vector(self.wide + other.wide, self.count + other.count)
@@ -39,12 +40,12 @@ class Vector:
         return Vector(self.wide - other.wide, self.count - other.count)
 
     def to_bytes(self) -> bytes:
-        return self.wide.astype("<u8").tobytes() + self.count.astype("<u2").tobytes()
+        return self.wide.astype("<u8").tobytes() + self.count.astype("<u4").tobytes()
 
 
 def from_bytes(data: bytes) -> Vector:
     at = 8 * WIDE
-    return Vector(np.frombuffer(data[:at], "<u8"), np.frombuffer(data[at:], "<u2"))
+    return Vector(np.frombuffer(data[:at], "<u8"), np.frombuffer(data[at:], "<u4"))
 
 
 def vector_of(paragraphs: list[bytes]) -> Vector:
@@ -60,7 +61,7 @@ def vector_of(paragraphs: list[bytes]) -> Vector:
         h = np.fromiter((digest(w, SEED) for w in part), np.uint64, len(part))
         sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(float)
         count += np.bincount((h % np.uint64(COUNT)).astype(np.int64), sign, COUNT).astype(np.int64)
-    return Vector(wide, count.astype(np.uint16))
+    return Vector(wide, count.astype(np.uint32))
 
 
 def _windows(paragraphs: list[bytes]) -> list[bytes]:
@@ -102,7 +103,7 @@ def likeness(a: Vector, b: Vector) -> float:
     """0 to 1: 1 for equal fingerprints, else the cosine of the count lanes, negative ones as 0."""
     if np.array_equal(a.wide, b.wide):
         return 1.0
-    x, y = a.count.astype(np.int16).astype(float), b.count.astype(np.int16).astype(float)
+    x, y = a.count.astype(np.int32).astype(float), b.count.astype(np.int32).astype(float)
     norm = np.sqrt((x @ x) * (y @ y))
     return float(min(max(x @ y / norm, 0.0), 1.0)) if norm else 0.0
 
