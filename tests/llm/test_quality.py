@@ -127,6 +127,16 @@ def test_samples_are_bounded_and_stable(corpus):
     assert a == b and Counter(r["label"] for r in a) == {0: 50, 1: 50}
 
 
+def test_a_sample_keeps_the_shares_of_the_classes(corpus):
+    """Half good, half bad in the sample, three quarters good among the labels."""
+    docs, labels, _ = corpus
+    known = Counter(r["label"] for r in training_labels(labels, "doc_id", "quality").collect())
+    share = known[1] / sum(known.values())
+    whole, part = (quality_rules.fit(docs, labels, per_class=k) for k in (10_000, 50))
+    for model in (whole, part):
+        assert share > 0.7 and abs(1 / (1 + np.exp(-model.base)) - share) < 0.01
+
+
 def test_rules(corpus):
     docs, labels, rows = corpus
     model = quality_rules.fit(docs, labels, per_class=300)

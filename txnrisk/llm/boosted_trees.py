@@ -38,15 +38,17 @@ def fit(
     rate: float = 0.2,
     bins: int = 64,
     ridge: float = 5.0,
+    weight: np.ndarray | None = None,
 ) -> Trees:
     """Logistic boosting on binned statistics.
 
     ``monotone`` holds -1, 0 or 1 for each column. A split in a constrained column must order its two sides'
     values the right way, and everything below it stays on its side of the two values' mean; so the sum of all
-    trees is monotone. One class only, or no rows, gives no trees and the smoothed share.
+    trees is monotone. ``weight`` (1 unless given) counts a row that often. One class only, or no rows, gives no trees and the smoothed share.
     """
     n, width = x.shape
-    share = (y.sum() + 0.5) / (n + 1)
+    w = np.ones(n) if weight is None else weight
+    share = ((w * y).sum() + 0.5) / (w.sum() + 1)
     nodes: list[list] = []  # feature, threshold, low, high, value
     roots: list[int] = []
     base = float(np.log(share / (1 - share)))
@@ -56,7 +58,7 @@ def fit(
         odds = np.full(n, base)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-odds))
-            grower = _Grower(binned, cuts, p - y, p * (1 - p), monotone, bins, ridge, rate, nodes)
+            grower = _Grower(binned, cuts, w * (p - y), w * p * (1 - p), monotone, bins, ridge, rate, nodes)
             roots.append(grower.grow(np.arange(n), depth, -np.inf, np.inf))
             odds += grower.step
     if not roots:

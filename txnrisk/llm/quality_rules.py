@@ -30,11 +30,18 @@ def fit(
     per_class: int = 10_000,
 ) -> Trees:
     """Trains on at most ``per_class`` documents of either label (see ``bounded_sample``), the only rows
-    that reach the driver, as numbers. Without labels of both classes every document scores the smoothed share."""
-    wanted = bounded_sample(training_labels(labels, id_col, label_col), per_class)
+    that reach the driver, as numbers. Sampled rows are weighted back to the shares of the classes among
+    all training labels. Without labels of both classes every document scores the smoothed share."""
+    known = training_labels(labels, id_col, label_col)
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    wanted = bounded_sample(known, per_class)
     rows = sampled_statistics(docs, wanted, id_col, text_col).toPandas().sort_values(["label", *FEATURES])
     x = rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES))
-    return fit_trees(x, rows["label"].to_numpy(float), [-1 if f in FALLING else 0 for f in FEATURES])
+    stands_for = {k: n / min(n, per_class) for k, n in counts.items()}  # labels for each one sampled
+    weight = rows["label"].map(stands_for).to_numpy(float)
+    weight *= len(weight) / max(weight.sum(), 1)
+    monotone = [-1 if f in FALLING else 0 for f in FEATURES]
+    return fit_trees(x, rows["label"].to_numpy(float), monotone, weight=weight)
 
 
 def judged(texts, model: Trees, keep_at: float) -> list[list]:
