@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from txnrisk.llm import packing, token_counts
+from txnrisk.llm import packing, token_counts, unigram
 from txnrisk.llm.merges import Pairs, merge_all, merge_long
 from txnrisk.llm.queries import PIECES, WORD_BPE
 
@@ -53,6 +53,17 @@ def test_forgetting_and_long_texts_change_nothing(monkeypatch):
     assert [fresh.counts([text])[0] for _ in range(3)] == whole * 3
 
 
+def test_runs_of_spaces_are_not_cut(monkeypatch):
+    """Every run of spaces and space signs meets the end of a block at each of its places."""
+    texts = ["x" * k + run + "def ghi" * 20 for k in range(30, 52) for run in ("   ", "       ", " ▁ ", "▁  ")]
+    texts += [t.replace("▁", " ").replace("g", "   g") for t in texts]
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = [x.tolist() for x in unigram.Unigram(PIECES).encode(texts)]
+    monkeypatch.setattr("txnrisk.llm.piece_models.blocks_of", lambda t: _short_blocks(t))
+    assert token_counts.PieceCounter(PIECES).counts(texts) == [len(model.encode(t)) for t in texts]
+    assert [x.tolist() for x in unigram.Unigram(PIECES).encode(texts)] == ids
+
+
 def _short_blocks(text):
     from txnrisk.llm.chunks import blocks_of
 

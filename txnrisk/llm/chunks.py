@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 BLOCK = 1 << 20  # characters of a long text split at a time
+_RUN = re.compile("(?<![ \u2581]) ")  # the first of a run of spaces and space signs, if it is a space
 Solve = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -88,12 +90,13 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 def blocks_of(text: str, size: int = BLOCK) -> Iterator[str]:
-    """A text in blocks that end right before a space; only its last block may lack the cut."""
+    """A text in blocks that end right before a run of spaces, whose first one is left out; only its
+    last block may lack the cut."""
     at = 0
     while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        if cut < 0:
+        found = _RUN.search(text, at + size)
+        if found is None:
             break
-        yield text[at:cut]
-        at = cut + 1
+        yield text[at : found.start()]
+        at = found.end()
     yield text[at:] if at else text
