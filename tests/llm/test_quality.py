@@ -10,7 +10,7 @@ import pytest
 
 from txnrisk.llm import boosted_trees, quality_classifier, quality_rules
 from txnrisk.llm.docstats import COUNTS, FEATURES, statistics
-from txnrisk.llm.labelled import bounded_sample, document_statistics, training_labels
+from txnrisk.llm.labelled import bounded_sample, document_statistics, sampled_statistics, training_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,6 +137,14 @@ def test_a_sample_keeps_the_shares_of_the_classes(corpus):
         assert share > 0.7 and abs(1 / (1 + np.exp(-model.base)) - share) < 0.01
 
 
+def test_a_repeated_id_trains_once(spark):
+    rows = [(1, f"{'w ' * k}#") for k in range(300)] + [(2, "b c"), (3, "d"), (3, None), (4, "not sampled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id long, label int")
+    a, b = (sorted(sampled_statistics(docs.repartition(n), sample, "doc_id", "text").collect()) for n in (2, 5))
+    assert a == b and Counter(r["label"] for r in a) == {0: 1, 1: 2}
+
+
 def test_rules(corpus):
     docs, labels, rows = corpus
     model = quality_rules.fit(docs, labels, per_class=300)

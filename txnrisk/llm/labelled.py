@@ -51,13 +51,20 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def sampled_statistics(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(label, one column per feature) of a bounded sample (id, label), which is broadcast."""
+    """(label, one column per feature) of a bounded sample (id, label), which is broadcast.
+
+    One row per id: of rows that repeat one, that of the least hashed text.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(sample), "id")
+    kind = chosen.schema["id"].dataType.simpleString()
 
     def rows(columns: list[list]) -> list[list]:
-        found, some = columns
-        return [found, *map(list, zip(*(statistics(t)[1] for t in some)))]
-
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    return settled(map_texts(chosen, [F.col("label"), raw_text("text")], schema, rows))
+        *told, some = columns
+        return [*told, *map(list, zip(*(statistics(t)[1] for t in some)))]
+
+    schema = f"id {kind}, label int, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES)
+    source = [F.col("id"), F.col("label"), F.xxhash64("text"), raw_text("text")]
+    found = map_texts(chosen, source, schema, rows)
+    least = found.groupBy("id").agg(F.min(F.struct("text_hash", "label", *FEATURES)).alias("row"))
+    return settled(least.select("row.label", *(f"row.{f}" for f in FEATURES)))
