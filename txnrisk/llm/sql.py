@@ -106,9 +106,42 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {SHARDS})::INTEGER AS shard
 FROM numbered JOIN walk USING (row_no) WHERE step > 0 AND x < walk.n"""
 
 
+def _fill_in_middle() -> str:
+    return r"""WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+cut AS (
+  SELECT doc_id, text,
+         regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks,
+         ('0x' || substr(h, 1, 8))::UBIGINT AS h1, ('0x' || substr(h, 9, 8))::UBIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::UBIGINT AS h3, ('0x' || substr(h, 25, 8))::UBIGINT AS h4
+  FROM base),
+placed AS (
+  SELECT doc_id, text, toks, len(toks) AS n,
+         least(h1 % (len(toks) + 1), h2 % (len(toks) + 1)) AS a,
+         greatest(h1 % (len(toks) + 1), h2 % (len(toks) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+              THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, text, n, form,
+         array_to_string(toks[1:a], '') AS prefix,
+         array_to_string(toks[a + 1:b], '') AS middle,
+         array_to_string(toks[b + 1:n], '') AS suffix
+  FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filters": _url_filters(),
         "op5_chat_formatting": _chat_formatting(),
         "op10_sharding": _sharding(),
+        "op11_fill_in_middle": _fill_in_middle(),
     }
