@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 from txnrisk.llm import (
     fill_in_middle,
+    language_id,
     multiset_hash,
     packing,
     preferences,
@@ -173,6 +174,14 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = docs.select("text", "lang", (~is_held_out("doc_id")).alias("learn"))
+    prototypes = language_id.fit(learn, train="learn")
+    found = language_id.predict(docs, prototypes)
+    return found.select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -186,4 +195,5 @@ def queries() -> dict[str, Query]:
         "op9_fingerprints": op9_fingerprints,
         "op10_sharding": op10_sharding,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_language_id": op12_language_id,
     }
