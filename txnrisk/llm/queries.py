@@ -12,6 +12,7 @@ from txnrisk.llm import (
     language_id,
     multiset_hash,
     packing,
+    prefix_trie,
     preferences,
     quality_classifier,
     quality_rules,
@@ -182,6 +183,10 @@ def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -196,4 +201,5 @@ def queries() -> dict[str, Query]:
         "op10_sharding": op10_sharding,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_language_id": op12_language_id,
+        "op13_prefix_trie": op13_prefix_trie,
     }
