@@ -164,6 +164,7 @@ raw AS (
            UNION ALL SELECT 'dim_terminal', count(*) FROM dim_terminal
            UNION ALL SELECT 'dim_amount_band', count(*) FROM dim_amount_band"""
     )
+    q["s08_star_increment"] = fact
     q["s09_constraints"] = t(_constraints())
     q["s10_enriched_view"] = t(
         """SELECT transaction_id, txn_datetime, date, month_name, day_name, is_weekend,

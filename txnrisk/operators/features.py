@@ -40,6 +40,16 @@ def fraud_types(rows: DataFrame) -> DataFrame:
 
 def customer_history(rows: DataFrame) -> DataFrame:
     """Place, minutes since the previous row, mean of earlier amounts and ratio to that mean."""
+    return customer_history_from(rows)
+
+
+def customer_history_from(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """``customer_history`` of rows that follow earlier ones summed up in ``state``.
+
+    ``state`` has one row per customer: n (rows), spent (cents) and last (time and id of the last
+    row); every row of ``rows`` must come after its customer's last. Customers without a state row
+    start afresh.
+    """
     keyed = rows.withColumns({"_at": dates.micros(F.col("txn_datetime")), "_cents": cents()})
     seen = running_columns(
         keyed,
@@ -51,6 +61,20 @@ def customer_history(rows: DataFrame) -> DataFrame:
             "_spent": running.total_before(F.col("_cents")),
         },
     )
+    if state is not None:
+        carried = state.select(
+            "customer_id",
+            F.col("n").alias("_s_n"),
+            F.col("spent").alias("_s_spent"),
+            dates.micros(F.col("last.txn_datetime")).alias("_s_at"),
+        )
+        seen = seen.join(carried, "customer_id", "left").withColumns(
+            {
+                "cust_txn_seq": F.col("cust_txn_seq") + F.coalesce("_s_n", F.lit(0)),
+                "_prev_at": F.coalesce("_prev_at", "_s_at"),
+                "_spent": F.coalesce(F.col("_spent") + F.coalesce("_s_spent", F.lit(0)), "_s_spent"),
+            }
+        ).drop("_s_n", "_s_spent", "_s_at")
     minutes = dates.minutes_between(F.col("_at"), F.col("_prev_at"))
     earlier_rows = F.nullif(F.col("cust_txn_seq") - 1, F.lit(0).cast("bigint"))
     mean = money(F.col("_spent")) / earlier_rows

@@ -46,12 +46,12 @@ def stage_clean(raw: DataFrame, folder: str, quarantine: str | None = None) -> D
 
 
 def build_from_clean(
-    rows: DataFrame, folder: str, daily_folders: bool = True
+    rows: DataFrame, folder: str, daily_folders: bool = True, terminal_order: str = "customer"
 ) -> Star:
     """Add features, write the fact once, and derive every dimension from what was written."""
     spark = rows.sparkSession
     target = f"{folder}/fact_transactions"
-    files.write_fact(build_fact(rows), target, daily_folders=daily_folders)
+    files.write_fact(build_fact(rows, terminal_order), target, daily_folders=daily_folders)
     fact = files.read_fact(spark, target)
     for name, build in (
         ("dim_date", dims.build_dim_date),
