@@ -259,6 +259,19 @@ def _round_trips() -> dict[str, Query]:
             land_stream(spark, f"{base}/inbox", f"{base}/landed", f"{base}/progress")
         return _raw_columns(landing.read_landed(spark, f"{base}/landed"))
 
+    def landing_mixed(spark, folder):
+        """Stream, batch, stream into one folder, the last stream batch replayed after a failure."""
+        base = fresh_path(spark, "mixed")
+        raw = raw_events(spark, folder)
+        early, late = raw.where(F.col("TX_DATETIME") < "2024-01-16"), raw.where(F.col("TX_DATETIME") >= "2024-01-16")
+        files.write_daily_files(early, f"{base}/inbox")
+        land_stream(spark, f"{base}/inbox", f"{base}/landed", f"{base}/progress")
+        landing.land_new_days(raw, f"{base}/landed")  # only the later days are new to it
+        files.write_daily_files(late, f"{base}/inbox")  # the same rows again, as files
+        land_stream(spark, f"{base}/inbox", f"{base}/landed", f"{base}/progress")
+        landing.land_batch(late, f"{base}/landed", "stream-replayed")
+        return _raw_columns(landing.read_landed(spark, f"{base}/landed"))
+
     def fact_parquet(spark, folder):
         target = fresh_path(spark, "fact")
         files.write_fact(star_of(spark, folder).fact, target)
@@ -358,6 +371,7 @@ def _round_trips() -> dict[str, Query]:
         "s01_daily_scan_csv": daily_scan_csv,
         "s01_daily_scan_text_ids": text_ids,
         "s02_landing_null_time": undated_thrice,
+        "s02_landing_mixed": landing_mixed,
         "t02_quarantine": quarantined,
         "s02_landing": landing_twice,
         "s02_landing_replace": landing_replaced,

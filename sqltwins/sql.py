@@ -149,6 +149,7 @@ raw AS (
     q["s02_landing"] = q["t01_rename_prune"]
     q["s02_landing_replace"] = q["t01_rename_prune"]
     q["s02_landing_stream"] = q["t01_rename_prune"]
+    q["s02_landing_mixed"] = q["t01_rename_prune"]
     q["s03_fact_parquet"] = fact
     q["s04_csv_round_trip"] = q["d03_dim_customer"]
     q["s04_csv_dim_date"] = q["d01_dim_date"]

@@ -157,6 +157,42 @@ def test_stream_takes_each_file_once(spark, raw, tmp_path):
     assert landing.read_landed(spark, target).count() == 900
 
 
+def test_stream_batch_stream_share_one_log(spark, raw, tmp_path, monkeypatch):
+    inbox, target, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    early = raw.where(F.col("TX_DATETIME") < F.lit("2024-03-10").cast("timestamp_ntz"))
+    late = raw.where(F.col("TX_DATETIME") >= F.lit("2024-03-10").cast("timestamp_ntz"))
+    early.write.parquet(f"{inbox}/a")
+    land_stream(spark, inbox, target, log)
+    landing.land_new_days(raw, target)  # adds the later days only
+    assert landing.read_landed(spark, target).count() == 900
+    late.where("TRANSACTION_ID % 3 = 0").write.parquet(f"{inbox}/b")  # rows the batch landed already
+    land_stream(spark, inbox, target, log)
+    assert landing.read_landed(spark, target).count() == 900
+    # a stream batch killed after its rows, before its manifest rows, then run again
+    extra = late.withColumn("TRANSACTION_ID", F.col("TRANSACTION_ID") + 10_000)
+    real_write = landing._write
+
+    def rows_only(dated, folder, tag=None):
+        monkeypatch.setattr(landing, "MANIFEST", "_not_the_manifest")
+        try:
+            real_write(dated, folder, tag)
+        finally:
+            monkeypatch.setattr(landing, "MANIFEST", "_landed")
+        raise RuntimeError("killed before the manifest")
+
+    monkeypatch.setattr(landing, "_write", rows_only)
+    with pytest.raises(RuntimeError):
+        landing.land_batch(extra, target, "stream-9")
+    monkeypatch.setattr(landing, "_write", real_write)
+    landing.land_batch(extra, target, "stream-9")
+    landing.land_batch(extra, target, "stream-9")
+    back = landing.read_landed(spark, target)
+    assert back.count() == 900 + late.count()
+    assert back.select("TRANSACTION_ID").distinct().count() == 900 + late.count()
+    logged = landing.commit_log(spark, target)
+    assert logged.filter("tag = 'stream-9'").count() == late.select(F.to_date("TX_DATETIME")).distinct().count()
+
+
 def test_whole_run_writes_every_output(spark, raw, star, tmp_path):
     import os
 
