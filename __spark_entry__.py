@@ -230,6 +230,26 @@ def _round_trips() -> dict[str, Query]:
         files.write_daily_files(raw.withColumns(as_text), inbox)
         return shown(typed(files.read_daily_files(spark, inbox).select(S.RAW.fieldNames())))
 
+    def mixed_days(spark, folder):
+        """Days up to the middle with number ids, later days with text ids, one scan."""
+        inbox = fresh_path(spark, "daily_mixed")
+        raw = raw_events(spark, folder)
+        later = F.col("TX_DATETIME") >= "2024-01-16"
+        as_text = {c: F.col(c).cast("string") for c in ("TRANSACTION_ID", "CUSTOMER_ID", "TERMINAL_ID")}
+        files.write_daily_files(raw.where(~later | F.col("TX_DATETIME").isNull()), inbox)
+        files.write_daily_files(raw.where(later).withColumns(as_text), inbox)
+        return shown(typed(files.read_daily_files(spark, inbox).select(S.RAW.fieldNames())))
+
+    def mixed_csv(spark, folder):
+        """CSV days in two column orders, each bound by its own header."""
+        inbox = fresh_path(spark, "daily_csv_mixed")
+        names = S.RAW.fieldNames()
+        raw = raw_events(spark, folder)
+        later = F.col("TX_DATETIME") >= "2024-01-16"
+        files.write_csv(raw.where(~later | F.col("TX_DATETIME").isNull()), f"{inbox}/early")
+        files.write_csv(raw.where(later).select(*names[::-1]), f"{inbox}/late")
+        return shown(typed(files.read_daily_files(spark, inbox, "csv").select(names)))
+
     def undated_thrice(spark, folder):
         target = fresh_path(spark, "landing")
         missing = F.when(F.col("TRANSACTION_ID") % 97 != 0, F.col("TX_DATETIME"))
@@ -370,6 +390,8 @@ def _round_trips() -> dict[str, Query]:
         "s01_daily_scan": daily_scan,
         "s01_daily_scan_csv": daily_scan_csv,
         "s01_daily_scan_text_ids": text_ids,
+        "s01_daily_scan_mixed": mixed_days,
+        "s01_daily_scan_mixed_csv": mixed_csv,
         "s02_landing_null_time": undated_thrice,
         "s02_landing_mixed": landing_mixed,
         "t02_quarantine": quarantined,

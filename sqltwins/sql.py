@@ -139,6 +139,7 @@ raw AS (
     fact = t(f"SELECT {FACT_COLUMNS} FROM fact", upto="fact")
     q["s01_daily_scan"] = q["t01_rename_prune"]
     q["s01_daily_scan_csv"] = q["s01_daily_scan_text_ids"] = q["t02_typed"]
+    q["s01_daily_scan_mixed"] = q["s01_daily_scan_mixed_csv"] = q["t02_typed"]
     q["s02_landing_null_time"] = (
         f"SELECT * REPLACE (CASE WHEN transaction_id % 97 <> 0 THEN txn_datetime END AS txn_datetime)\nFROM ({q['t01_rename_prune']})"
     )

@@ -1,7 +1,9 @@
-"""File sources and sinks. Every read declares its schema; nothing is inferred."""
+"""File sources and sinks. Reads declare their schema, or take each file's own and bind it by name."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from txnrisk import schema as S
@@ -11,21 +13,75 @@ from txnrisk.operators.quality import SOURCE_FILE
 def read_daily_files(spark: SparkSession, folder: str, file_format: str = "parquet") -> DataFrame:
     """The raw columns of all daily files, with the file each row came from, which orders duplicates.
 
-    Columns are bound by name. Parquet keeps its own types, so ids may be text; CSV stays text. The
-    conversion, which stops at or sets aside values that do not fit, is ``quality.typed`` or
-    ``quality.typed_with_quarantine``.
+    Files are grouped by their own layout (a Parquet file's footer schema, a CSV file's header line);
+    each group is read with that layout and bound by name, and the groups are united. A column whose
+    type differs between groups (number ids on some days, text ids on others) is read as text in all
+    of them; CSV stays text. The conversion, which stops at or sets aside values that do not fit, is
+    ``quality.typed`` or ``quality.typed_with_quarantine``. Only file names and first lines or
+    footers are read on the driver.
     """
     names = S.RAW.fieldNames()
-    if file_format == "csv":
-        text = T.StructType([T.StructField(n, T.StringType()) for n in _header(spark, folder) or names])
-        rows = spark.read.schema(text).options(header=True, enforceSchema=False).csv(folder)
-    else:
-        rows = spark.read.format(file_format).load(folder)
-    return rows.select(*names, F.col("_metadata.file_path").alias(SOURCE_FILE))
+    groups: dict[str, list[str]] = {}
+    for path in data_files(spark, folder):
+        if file_format == "csv":
+            layout = _first_line(spark, path)
+        else:
+            layout = spark.read.format(file_format).load(path).schema.json()
+        groups.setdefault(layout, []).append(path)
+    if not groups:
+        raise FileNotFoundError(f"no data files in {folder}")
+    parts = []
+    for layout, paths in groups.items():
+        if file_format == "csv":
+            text = T.StructType([T.StructField(n.strip(), T.StringType()) for n in layout.split(",")])
+            parts.append(spark.read.schema(text).options(header=True, enforceSchema=False).csv(paths))
+        else:
+            own = T.StructType.fromJson(json.loads(layout))
+            parts.append(spark.read.schema(own).format(file_format).load(paths))
+    types = {n: {p.schema[n].dataType for p in parts} for n in names}
+    bound = [
+        p.select(
+            *[F.col(n) if len(types[n]) == 1 else F.col(n).cast("string").alias(n) for n in names],
+            F.col("_metadata.file_path").alias(SOURCE_FILE),
+        )
+        for p in parts
+    ]
+    rows = bound[0]
+    for more in bound[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def data_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the data files under a folder, passing over names that start with ``_`` or ``.``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = str(store.makeQualified(root).toUri().getPath()).rstrip("/")
+    found = []
+    listing = store.listFiles(root, True)
+    while listing.hasNext():
+        path = listing.next().getPath()
+        inside = str(path.toUri().getPath())[len(base) :]
+        if not any(part.startswith(("_", ".")) for part in inside.split("/") if part):
+            found.append(str(path))
+    return sorted(found)
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, read through the cluster's file system."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(hadoop_path), "UTF-8"))
+    try:
+        return (reader.readLine() or "").strip().lstrip("\ufeff")
+    finally:
+        reader.close()
 
 
 def _header(spark: SparkSession, folder: str) -> list[str]:
-    """Column names of the first CSV file, in its order; files in another order fail the scan."""
+    """Column names of the first CSV file, in its order."""
     return spark.read.options(header=True, recursiveFileLookup=True).csv(folder).columns
 
 
