@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.texts import free_name, map_texts, pieces_of
 
-DIMS = 2048  # signs per vector
+DIMS = 1024  # signs per vector
 SEED = 42
 MAX_LANGS = 4096  # most prototypes that may travel to the driver and back to every task
 UNKNOWN = "und"
@@ -44,6 +44,13 @@ def letter_vector(point: int) -> np.ndarray:
     return (rng.integers(0, 2, DIMS, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
+@lru_cache(maxsize=8192)
+def letter_rows(point: int) -> np.ndarray:
+    """The vector of a code point rotated by 0, 1 and 2 places, as float32 rows."""
+    base = letter_vector(point).astype(np.float32)
+    return np.stack([base, np.roll(base, 1), np.roll(base, 2)])
+
+
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Which code points are letters, by ``str.isalpha``."""
@@ -70,13 +77,13 @@ def profile(text: str | None) -> np.ndarray | None:
     if seq.size < 3:
         return None
     alphabet, codes = np.unique(seq, return_inverse=True)
-    base = np.stack([letter_vector(int(p)) for p in alphabet]).astype(np.float32)
+    rows = np.stack([letter_rows(int(p)) for p in alphabet])
     size = alphabet.size
     pairs, pair_of = np.unique(codes[:-2] * size + codes[1:-1], return_inverse=True)
     counts = np.bincount(pair_of * size + codes[2:], minlength=pairs.size * size).astype(np.float32)
-    thirds = counts.reshape(pairs.size, size) @ base
+    thirds = counts.reshape(pairs.size, size) @ rows[:, 0]
     first, second = np.divmod(pairs, size)
-    bound = np.roll(base, 2, axis=1)[first] * np.roll(base, 1, axis=1)[second]
+    bound = rows[first, 2] * rows[second, 1]
     return np.einsum("ij,ij->j", bound, thirds)
 
 
@@ -114,9 +121,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "n": [int(group["n"].sum())], "bundle": [total.tobytes()]})
 
     merged = rows.mapInArrow(partial, schema).groupBy("lang").applyInPandas(merge, schema)
-    if merged.count() > MAX_LANGS:
+    found = merged.limit(MAX_LANGS + 1).collect()  # one pass over the texts, a bounded result
+    if len(found) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages to learn")
-    return {r["lang"]: unit(np.frombuffer(r["bundle"], np.float64)).astype(np.float32) for r in merged.collect()}
+    return {r["lang"]: unit(np.frombuffer(r["bundle"], np.float64)).astype(np.float32) for r in found}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id",
