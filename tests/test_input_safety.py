@@ -158,3 +158,33 @@ def test_measures_meet_dimensions_after_rolling_up(star):
                 below = [x for x in lines[i + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
                 fact = next(k for k, x in enumerate(below) if "is_fraud" in x and "Relation" in x or "terminal_txn_seq" in x)
                 assert any("Aggregate" in x for x in below[:fact])
+
+
+def test_no_local_fallback_on_a_cluster(spark, tmp_path):
+    from txnrisk.sources import workspace as W
+
+    W._refuse_private(spark, f"file:{tmp_path}", "local[8]")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        W._refuse_private(spark, f"file:{tmp_path}", "spark://cluster:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        W._refuse_private(spark, str(tmp_path), "yarn")
+
+
+def test_owners_are_per_thread(spark):
+    import threading
+
+    from txnrisk.sources import workspace as W
+
+    seen = {}
+
+    def run(name):
+        with W.run_folder(spark) as folder:
+            seen[name] = (folder, W.fresh_path(spark, "x"))
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert all(path.startswith(folder) for folder, path in seen.values())
+    assert seen["a"][0] != seen["b"][0]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_owner: list[str] = []  # folders of runs that drop their own intermediates
+# folders of the runs that drop their own intermediates, per thread or task of the driver
+_owner: ContextVar[tuple[str, ...]] = ContextVar("txnrisk_owner", default=())
 
 
 def _on_store(spark: SparkSession, folder: str):
@@ -17,27 +19,42 @@ def _on_store(spark: SparkSession, folder: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, else a folder beside the session's warehouse.
+    """``spark.checkpoint.dir`` of the session, else (with a local master only) a folder beside the
+    session's warehouse.
 
-    Both are places that the driver and every executor see. The warehouse path is resolved by the
-    default file system, so nothing lands in a machine's temporary folder.
+    On a cluster the folder must be one that the driver and every executor see, so without
+    ``spark.checkpoint.dir`` a warehouse on a machine's own disk (``file:``) is refused with an error
+    that names the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        _refuse_private(spark, named, spark.sparkContext.master or "")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _refuse_private(spark: SparkSession, folder: str, master: str) -> None:
+    """An error if ``folder`` lies on one machine's disk while the master is not local."""
+    store, path = _on_store(spark, folder)
+    private = str(store.makeQualified(path).toUri().getScheme() or "file") == "file"
+    if private and not master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share: "
+            f"{folder} lies on one machine's disk"
+        )
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new folder name; nothing is ever overwritten.
 
     It lies in the folder of the enclosing ``run_folder``, else in the application's, which the
     file system drops when the application ends (results that are still lazy may need it till then).
     """
-    if _owner:
-        return f"{_owner[-1]}/{label}-{uuid.uuid4().hex[:12]}"
+    owners = _owner.get()
+    if owners:
+        return f"{owners[-1]}/{label}-{uuid.uuid4().hex[:12]}"
     folder = f"{shared_folder(spark)}/txnrisk/{spark.sparkContext.applicationId}"
     store, path = _on_store(spark, folder)
     if store.mkdirs(path):
@@ -54,11 +71,11 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
     """
     app = spark.sparkContext.applicationId
     folder = f"{shared_folder(spark)}/txnrisk/{app}/run-{uuid.uuid4().hex[:12]}"
-    _owner.append(folder)
+    token = _owner.set((*_owner.get(), folder))
     try:
         yield folder
     finally:
-        _owner.remove(folder)
+        _owner.reset(token)
         store, path = _on_store(spark, folder)
         store.delete(path, True)
 
