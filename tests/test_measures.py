@@ -69,7 +69,7 @@ def test_a_date_range_prunes_partitions(spark, star, tmp_path):
     assert "PartitionFilters: [isnotnull(date_key" in plan and "20240301" in plan
 
 
-@pytest.mark.parametrize("by", [["value_segment"], ["risk_tier"], ["month_name"], ["value_segment", "risk_tier"], ["amount_band", "value_segment"]])
+@pytest.mark.parametrize("by", [["value_segment"], ["risk_tier"], ["month_name"], ["value_segment", "risk_tier"], ["amount_band", "value_segment"], ["month_name", "value_segment", "risk_tier"], ["day_name", "risk_tier", "amount_band"]])
 def test_rolling_up_before_the_join_changes_nothing(star, by):
     names = ["total_transactions", "total_value", "fraud_transactions", "fraud_loss"]
     got = sorted(map(tuple, M.evaluate(star, names, by=by).collect()))
@@ -167,3 +167,20 @@ def test_selected_threshold(spark):
 
 def test_approximate_distinct_is_offered(tiny):
     assert M.evaluate(tiny, ["terminals_affected"], approximate=True).first()[0] == 2
+
+
+def test_no_fact_row_meets_a_join_with_three_dimensions(spark, star):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = ["total_transactions", "fraud_rate_pct"]
+        result = M.evaluate(star, names, by=["month_name", "value_segment", "risk_tier"], filters={"is_weekend": [0, 1]})
+        plan = result._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    fact_scans = [i for i, line in enumerate(plan) if "Relation" in line and "transaction_id" in line]
+    assert fact_scans
+    for at in fact_scans:
+        above = [plan[j].strip(" :+-") for j in range(at - 1, -1, -1) if depth(plan[j]) < depth(plan[at])]
+        nearest = next(op for op in above if not op.startswith(("Project", "Filter")))
+        assert nearest.startswith("Aggregate"), nearest

@@ -100,8 +100,9 @@ def context(star: Star, by: Sequence[str] = (), filters: Filters | None = None)
 def _sums(star: Star, by: Sequence[str], filters: Filters) -> DataFrame:
     """Counts and cents per group.
 
-    When one dimension is involved the fact is first rolled up to its key, so that the join sees
-    one row per key, not one per transaction, and a heavy key cannot skew it.
+    The fact is rolled up to the keys of every dimension involved (and its own grouping columns)
+    before any join; each dimension is then joined to the rolled rows and the sums are rolled up
+    again without its key, so no join sees one row per transaction and a heavy key cannot skew it.
     """
     links = _links(star, set(by) | set(filters))
     rows = _own_rows(star, filters)
@@ -111,15 +112,26 @@ def _sums(star: Star, by: Sequence[str], filters: Filters) -> DataFrame:
         "_bad": frauds(),
         "_loss": fraud_cents_or_zero(),
     }
-    if len(links) == 1:
-        rows = rows.groupBy(*_rolled_keys(links, by)).agg(*[v.alias(n) for n, v in sums.items()])
+    if links:
+        rows = _staged(rows, links, by, filters, sums)
         sums = {n: F.sum(n) for n in sums}
     zero = F.lit(0)
-    return (
-        _linked(rows, links, filters)
-        .groupBy(*by)
-        .agg(*[F.coalesce(v, zero).alias(n) for n, v in sums.items()])
-    )
+    return rows.groupBy(*by).agg(*[F.coalesce(v, zero).alias(n) for n, v in sums.items()])
+
+
+def _staged(rows: DataFrame, links, by: Sequence[str], filters: Filters, sums: dict) -> DataFrame:
+    """Roll up to all keys, then join one dimension at a time and roll up again without its key."""
+    own = [c for c in by if c not in OUTSIDE]
+    keys = [key for _, key, _ in links]
+    rows = rows.groupBy(*dict.fromkeys(keys + own)).agg(*[v.alias(n) for n, v in sums.items()])
+    brought: list[str] = []
+    for at, link in enumerate(links):
+        rows = _linked(rows, [link], filters)
+        brought += [c for c in link[2] if c in by]
+        left = keys[at + 1 :]
+        grouping = list(dict.fromkeys([*left, *own, *brought]))
+        rows = rows.groupBy(*grouping).agg(*[F.sum(n).alias(n) for n in sums])
+    return rows
 
 
 def _rolled_keys(links, by: Sequence[str]) -> list[str]:
