@@ -23,6 +23,7 @@ from txnrisk.operators import thresholds as X  # noqa: E402
 from txnrisk.plans import customers, increment, portfolio, slices, terminals, trend, triage  # noqa: E402
 from txnrisk.plans.report import statistical_results  # noqa: E402
 from txnrisk.plans.star import (  # noqa: E402
+    VIEW,
     Star,
     clean_for,
     enriched,
@@ -357,6 +358,19 @@ def _round_trips() -> dict[str, Query]:
             spark.sql(f"DROP DATABASE {name} CASCADE")
         return scanned
 
+    def catalog_view(spark, folder):
+        """The enriched view published to the catalog, read by another session of it."""
+        location = fresh_path(spark, "warehouse")
+        name = f"txnrisk_{zlib.crc32(location.encode()):08x}"
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{location}'")
+        try:
+            publish(star_of(spark, folder), name)
+            other = spark.newSession()
+            seen = settled(shown(other.table(f"{name}.{VIEW}")))
+        finally:
+            spark.sql(f"DROP DATABASE {name} CASCADE")
+        return seen
+
     def star_sizes(spark, folder):
         counts = [
             df.agg(F.count(F.lit(1)).alias("row_count")).select(
@@ -413,6 +427,7 @@ def _round_trips() -> dict[str, Query]:
         "s08_star_increment": star_increment,
         "s09_constraints": on_star(lambda star: quality.constraint_report(star.tables())),
         "s10_enriched_view": on_star(enriched),
+        "s10_catalog_view": catalog_view,
         "s11_slice_reader": slice_read,
     }
 

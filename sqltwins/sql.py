@@ -25,6 +25,7 @@ DATE_OUTPUTS = {
     "d01_dim_date": "date",
     "s04_csv_dim_date": "date",
     "s10_enriched_view": "date",
+    "s10_catalog_view": "date",
     "s11_slice_reader": "txn_date",
     "q11_attack_windows": "first_fraud_day last_fraud_day",
     "q11_attack_windows_top3": "first_fraud_day last_fraud_day",
@@ -178,6 +179,8 @@ raw AS (
            JOIN dim_terminal m ON m.terminal_id = f.terminal_id"""
     )
 
+    q["s10_catalog_view"] = q["s10_enriched_view"]
+
     _questions(q)
     _significance(q)
     _decisions(q)

@@ -80,7 +80,8 @@ def open_star(spark: SparkSession, folder: str) -> Star:
 
 
 def publish(star: Star, database: str = "default", customer_buckets: int = 0) -> None:
-    """Save the star as catalog tables with column statistics for the optimizer.
+    """Save the star as catalog tables with column statistics for the optimizer, and the enriched
+    view (``vw_txn_enriched``) as a view of the catalog over them.
 
     ``customer_buckets`` lays fact and customers out by customer instead of by day, so that joins
     and groupings on the customer need no shuffle when both tables are too large to broadcast. A
@@ -99,6 +100,19 @@ def publish(star: Star, database: str = "default", customer_buckets: int = 0) ->
             writer = writer.partitionBy("date_key")
         writer.saveAsTable(target)
         spark.sql(f"ANALYZE TABLE {target} COMPUTE STATISTICS FOR ALL COLUMNS")
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.{VIEW} AS {enriched_sql(database)}")
+
+
+def enriched_sql(database: str) -> str:
+    """The enriched view as SQL over the published tables, for the catalog (every session sees it)."""
+    return f"""SELECT f.transaction_id, f.txn_datetime, d.date, d.month_name, d.day_name, d.is_weekend,
+       f.customer_id, c.value_segment, f.terminal_id, t.risk_tier AS terminal_risk_tier, f.amount,
+       f.amount_band, f.txn_hour, f.part_of_day, f.amount_vs_cust_avg, f.mins_since_prev_txn, f.is_fraud,
+       f.fraud_type
+FROM {database}.fact_transactions f
+JOIN {database}.dim_date d ON d.date_key = f.date_key
+JOIN {database}.dim_customer c ON c.customer_id = f.customer_id
+JOIN {database}.dim_terminal t ON t.terminal_id = f.terminal_id"""
 
 
 def open_published(spark: SparkSession, database: str = "default") -> Star:
