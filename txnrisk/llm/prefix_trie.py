@@ -41,6 +41,7 @@ HEAD_MOD = 6
 LANES = 4
 BLOCK = 4096  # turns of one conversation summed in one task
 SHARD_WEIGHT = 200_000  # most rows below a shard's root, so most nodes a shard holds
+BROADCAST_TOPS = 1_000_000  # most top nodes sent whole to every task (16 bytes each)
 MASK = (1 << 32) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -171,9 +172,14 @@ def subtree_totals(rows: DataFrame, nodes: DataFrame, weight: int = SHARD_WEIGHT
     done: list[DataFrame] = []
     while True:
         weights = current.groupBy("k1", "k2").agg((F.sum(F.col("limit") - F.col("d")) + 1).alias("weight"))
-        marked = settled(current.join(weights, ["k1", "k2"]).withColumn("top", F.col("weight") > weight))
-        tops = marked.groupBy("c").agg(F.sum(F.col("top").cast("long")).alias("d_star"))
-        marked = settled(marked.join(tops, "c"))
+        # few nodes are top (at most rows / weight on a level), so only they travel, and no row of
+        # the root or of a common first turn is shuffled to one task for a join by node
+        tops = settled(weights.filter(F.col("weight") > weight).select("k1", "k2", F.lit(True).alias("top")))
+        few = tops.count() <= BROADCAST_TOPS
+        marked = current.join(F.broadcast(tops) if few else tops, ["k1", "k2"], "left")
+        marked = settled(marked.withColumn("top", F.coalesce("top", F.lit(False))))
+        stars = marked.groupBy("c").agg(F.sum(F.col("top").cast("long")).alias("d_star"))
+        marked = settled(marked.join(stars, "c"))
         roots = marked.filter(F.col("d") == F.col("d_star")).select("c", F.col("k1").alias("r1"), F.col("k2").alias("r2"))
         placed = (
             marked.filter(F.col("d") >= F.col("d_star"))
