@@ -122,6 +122,15 @@ def test_shards(spark, partitions):
         assert slots == [*range(len(slots))] and len(slots) in (len(rows) // 24, len(rows) // 24 + 1)
 
 
+def test_shards_keep_columns_named_like_internals(spark):
+    names = ["row_no", "tie_break", "slice_no", "first_no", "payload", "o0", "id"]
+    rows = [(i, *[i * 10 + k for k in range(len(names))]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    got = sharding.assign_shards(frame, ["doc_id"], 24).collect()
+    assert sorted(tuple(r[c] for c in ["doc_id", *names]) for r in got) == sorted(rows)
+    assert got[0].__fields__[-2:] == ["shard", "slot"]
+
+
 def test_sharding_of_nothing(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long"), ["doc_id"], 24).count() == 0
 

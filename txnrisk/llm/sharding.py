@@ -70,7 +70,8 @@ def permuted(number: Column, n: int, seed: int) -> Column:
         return first
     walks = F.sequence(F.lit(1), F.lit(outside))
     walked = F.aggregate(walks, first, lambda x, _: F.when(x < n, x).otherwise(image(x)))
-    return F.when(first < n, first).otherwise(walked)
+    failed = F.raise_error(F.lit(f"a permutation walk of {outside} steps stayed outside 0..{n - 1}"))
+    return F.when(first < n, first).when(walked < n, walked).otherwise(failed.cast("long"))
 
 
 def assign_shards(df: DataFrame, order: list[str], shards: int, seed: int = 1) -> DataFrame:
@@ -78,15 +79,18 @@ def assign_shards(df: DataFrame, order: list[str], shards: int, seed: int = 1) -
 
     The result depends on the rows, ``order``, ``shards`` and ``seed`` only. Rows equal in all
     ``order`` columns are interchangeable. Nulls sort first; an empty table stays empty. Columns
-    of ``df`` named shard or slot are replaced. Give narrow rows: they are sorted once.
+    of ``df`` named shard or slot are replaced; every other column comes back as it was, whatever
+    its name (the caller's columns travel in one struct beside the sort keys). Give narrow rows:
+    they are sorted once. A walk that stays outside the range (never seen) stops the job.
     """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    rows = settled(df.select(*kept))
+    keys = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    rows = settled(df.select(F.struct(*[F.col(c) for c in kept]).alias("payload"), *keys))
     n = rows.count()
-    placed = numbered(rows, "row_no", *(F.col(c) for c in order))
-    place = settled(placed.withColumn("row_no", permuted(F.col("row_no"), n, seed)))
+    placed = numbered(rows, "row_no", *(F.col(f"o{i}") for i in range(len(order))))
+    place = settled(placed.select("payload", permuted(F.col("row_no"), n, seed).alias("row_no")))
     return place.select(
-        *kept,
+        *[F.col("payload").getField(c).alias(c) for c in kept],
         (F.col("row_no") % shards).cast("int").alias("shard"),
         ((F.col("row_no") - F.col("row_no") % shards) / F.lit(shards)).cast("long").alias("slot"),
     )
