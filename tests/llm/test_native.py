@@ -70,6 +70,17 @@ def test_rules_that_repeat_or_hold_nulls(spark):
     assert got == {0: ("a", "/", "a/", "block"), 1: ("b", "/", None, "allow")}
 
 
+def test_columns_named_like_internals_and_a_hot_key(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    urls = [f"http://h{i}.com/" for i in range(3000)] + ["https://www.example.com/en/x", None, "ftp://a.net/es/"]
+    rows = [(i, u, i % 7, "x") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, found long, payload string")
+    got = url_filters.judge_urls(pages, rules).collect()
+    assert len(got) == len(rows) and sorted((r["page_id"], r["found"], r["payload"]) for r in got) == [(i, i % 7, "x") for i in range(len(rows))]
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain_verdict(r["url"], RULES, "allow")
+
+
 def test_no_rules_and_no_pages(spark):
     empty = spark.createDataFrame([], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "x://a/")], "page_id long, url string")

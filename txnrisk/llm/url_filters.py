@@ -67,39 +67,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     A rule fits its host and all sub-domains if the url's path starts with the rule's path. The
     longest host and path wins, then the longer host. No fitting rule: null, and ``default``. A null
-    url, or one without ``://``, has an empty host and path. Same-named columns are replaced; repeated
-    rows stay repeated. Equal urls are looked up once, so a url held by a third of all rows costs one
-    lookup.
+    url, or one without ``://``, has an empty host and path. Same-named columns are replaced; other
+    columns come back as they were, whatever their names (they travel in one struct). Repeated rows
+    stay repeated. Equal (host, path) pairs are looked up once, and equal probe keys (a rule's
+    suffix and a path, such as every home page under one suffix) go through the sweep once and are
+    joined back, so neither a url nor a key held by a third of all rows fills one task of the sweep.
     """
     added = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c.lower() not in added]
     address = F.col(url).cast("string")
-    parsed = pages.select(*kept, url_host(address).alias("host"), url_path(address).alias("path"))
+    payload = F.struct(*[F.col(c) for c in kept]).alias("payload")
+    parsed = pages.select(payload, url_host(address).alias("host"), url_path(address).alias("path"))
     ruled = rules_from(rules)
     labels = reversed_labels(F.col("host"))
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.lit(1), k), ".")
     )
     distinct = parsed.groupBy("host", "path").agg(F.count("*").alias("n"))
-    probes = (
+    asked = (
         distinct.select("host", "path", F.explode(suffixes).alias("suffix"))
         .join(ruled.select("suffix").distinct(), "suffix", "left_semi")
-        .select(
-            F.encode(F.concat("suffix", F.lit("?"), "path"), "UTF-8").alias("key"),
-            F.lit(PROBE).alias("kind"),
-            F.lit(0).alias("step"),
-            ruled_null(ruled).alias("found"),
-            "host",
-            "path",
-        )
+        .select("host", "path", F.encode(F.concat("suffix", F.lit("?"), "path"), "UTF-8").alias("key"))
     )
-    none = F.lit(None).cast("string")
-    starts = ruled.select("key", F.lit(START), F.lit(1), "found", none, none)
-    ends = ruled.select(F.concat("key", F.unhex(F.lit("FF"))), F.lit(END), F.lit(-1), ruled_null(ruled), none, none)
+    probes = asked.select("key").distinct().select(
+        "key", F.lit(PROBE).alias("kind"), F.lit(0).alias("step"), ruled_null(ruled).alias("found")
+    )
+    starts = ruled.select("key", F.lit(START), F.lit(1), "found")
+    ends = ruled.select(F.concat("key", F.unhex(F.lit("FF"))), F.lit(END), F.lit(-1), ruled_null(ruled))
     tops = _swept(probes.union(starts).union(ends))
-    best = tops.groupBy("host", "path").agg(F.max("found").alias("found"))
+    best = asked.join(tops, "key").groupBy("host", "path").agg(F.max("found").alias("found"))
     return parsed.join(best, ["host", "path"], "left").select(
-        *kept,
+        *[F.col("payload").getField(c).alias(c) for c in kept],
         "host",
         "path",
         F.col("found.rule").alias("rule"),
@@ -112,7 +110,7 @@ def ruled_null(ruled: DataFrame) -> Column:
 
 
 def _swept(events: DataFrame) -> DataFrame:
-    """For every probe the innermost rule whose interval holds it (probes outside all are left out)."""
+    """For every probe key the innermost rule whose interval holds it (keys outside all are left out)."""
     slices = in_slices(events, F.col("key"), F.col("kind"))
     order = [F.col("key"), F.col("kind")]
     totals = slices.groupBy(SLICE).agg(F.sum("step").alias("step"))
@@ -131,5 +129,5 @@ def _swept(events: DataFrame) -> DataFrame:
         deep.join(tops, [SLICE, "depth"], "left")
         .withColumn("found", top)
         .filter((F.col("kind") == PROBE) & (F.col("depth") > 0))
-        .select("host", "path", "found")
+        .select("key", "found")
     )
