@@ -47,12 +47,15 @@ def merge_all(symbols: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.
     owner = np.repeat(np.arange(len(sizes)), sizes)
     symbols = symbols.astype(np.int64)
     done_owner, done_symbols = [], []
-    for i in np.flatnonzero(sizes > LONG).tolist():
-        own = owner == i
-        left = merge_long(symbols[own].tolist(), pairs)
-        done_owner.append(np.full(len(left), i))
-        done_symbols.append(np.asarray(left, np.int64))
-        symbols, owner = symbols[~own], owner[~own]
+    long = sizes > LONG
+    if long.any():  # split off once, each long sequence read by its own offsets
+        starts = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(long).tolist():
+            left = merge_long(symbols[starts[i] : starts[i] + sizes[i]].tolist(), pairs)
+            done_owner.append(np.full(len(left), i))
+            done_symbols.append(np.asarray(left, np.int64))
+        short = np.repeat(~long, sizes)
+        symbols, owner = symbols[short], owner[short]
     rank, merged = _ranked(symbols, owner, np.arange(len(symbols)), pairs)
     while len(symbols):
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
