@@ -96,6 +96,17 @@ def on_orders(build: Callable[[Star], DataFrame]) -> Query:
     return lambda spark, folder: shown(build(order_star(spark, folder)))
 
 
+def observed_audit(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """T3 gathered while the cleaned rows are written, without a scan of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation("audit")
+    raw = raw_events(spark, folder)
+    cleaned = quality.positive_amounts(quality.keep_first(typed(with_gaps(raw) if gaps else raw), seen))
+    files.write_parquet(cleaned, fresh_path(spark, "clean"))
+    return quality.observed_audit(spark, seen)
+
+
 def on_raw(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: shown(build(raw_events(spark, folder)))
 
@@ -150,6 +161,8 @@ def _cleaning() -> dict[str, Query]:
         "t01_rename_prune": on_raw(quality.rename_and_prune),
         "t02_typed": on_raw(typed),
         "t03_quality_audit": on_raw(lambda raw: quality.audit(typed(raw))),
+        "t03_observed_audit": observed_audit,
+        "t03_observed_audit_gaps": lambda spark, folder: observed_audit(spark, folder, gaps=True),
         "t03_quality_audit_lineitem": on_lineitem(quality.audit),
         "t04_keep_first": on_raw(lambda raw: quality.keep_first(typed(raw))),
         "t04_keep_first_lineitem": on_lineitem(quality.keep_first),

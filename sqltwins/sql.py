@@ -80,6 +80,7 @@ def build_sql() -> dict[str, str]:
              count(*) FILTER (WHERE amount < 0) AS negative_amounts
       FROM typed"""
     q["t03_quality_audit"] = t(audit, upto="typed")
+    q["t03_observed_audit"] = q["t03_quality_audit"]
     q["t03_quality_audit_lineitem"] = t(audit, raw=RAW_LINEITEM, upto="typed")
     q["t04_keep_first"] = t(f"SELECT {CLEAN_COLUMNS} FROM first_rows", upto="first_rows")
     q["t04_keep_first_lineitem"] = t(
@@ -95,6 +96,7 @@ raw AS (
                 WHEN transaction_id % 3 = 0 THEN -raw_amount ELSE 0 END END AS raw_amount, fraud_scenario
   FROM whole)"""
     q["t03_quality_audit_gaps"] = t(audit, raw=gaps, upto="typed")
+    q["t03_observed_audit_gaps"] = q["t03_quality_audit_gaps"]
     q["t04_keep_first_gaps"] = q["t04_keep_first"].replace(RAW_EVENTS, gaps)
     q["t05_positive_amounts_gaps"] = t(f"SELECT {CLEAN_COLUMNS} FROM clean", raw=gaps, upto="clean")
     for key, columns in {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Observation, Column, DataFrame, Window as W, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.rounding import round_half_even
@@ -98,19 +98,39 @@ def audit(rows: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(rows: DataFrame) -> DataFrame:
+def keep_first(rows: DataFrame, observation: Observation | None = None) -> DataFrame:
     """First row per transaction id in file order, then rows without nulls.
 
     Spark trims every id to one row before the shuffle (WindowGroupLimit), so an id that is
-    repeated many times does not fill one task.
+    repeated many times does not fill one task. With ``observation`` the audit's four counts are
+    gathered from the rows as they pass (``Dataset.observe``), read once the result is written; a
+    row placed after the first of its id (null ids count as one id) is a duplicate. The trim before
+    the shuffle is then left out, since every row must pass the counters.
     """
     arrival = [SOURCE_FILE] if SOURCE_FILE in rows.columns else []
     order = [*arrival, "txn_datetime", "customer_id", "terminal_id", "amount", "fraud_scenario"]
     window = W.partitionBy("transaction_id").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    first = rows.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1)
+    placed = rows.withColumn("_rn", F.row_number().over(window))
+    if observation is not None:
+        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in CLEAN_COLUMNS])
+        placed = placed.observe(
+            observation,
+            F.count_if(F.col("_rn") > 1).alias("duplicate_txn_ids"),
+            F.count_if(any_null).alias("null_rows"),
+            F.count_if(F.col("amount") <= 0).alias("zero_amount_txns"),
+            F.count_if(F.col("amount") < 0).alias("negative_amounts"),
+        )
+    first = placed.where(F.col("_rn") == 1)
     return first.select(*CLEAN_COLUMNS).dropna()
 
 
+def observed_audit(spark, observation: Observation) -> DataFrame:
+    """The audit's one row from an observation that a finished write filled."""
+    got = observation.get
+    names = ["duplicate_txn_ids", "null_rows", "zero_amount_txns", "negative_amounts"]
+    return spark.createDataFrame([tuple(int(got[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def positive_amounts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("amount") > 0)
 
