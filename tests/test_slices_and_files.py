@@ -221,3 +221,22 @@ def test_bucketed_tables_join_without_moving_the_fact(spark, star, tmp_path):
         assert sum(r["count"] for r in joined.collect()) == 900
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_five_slices_read_the_roll_up_not_the_fact(spark, star):
+    from txnrisk.sources.workspace import settled
+
+    cube = settled(slices.fine_rollup(star.fact))
+    fact_files = set(star.fact.inputFiles())
+    made = [
+        slices.band_slice(star.fact, cube=cube),
+        slices.daily_slice(star.fact, cube=cube),
+        slices.hour_slice(star.fact, cube=cube),
+        slices.heat_slice(star.fact, cube=cube),
+        slices.amount_histogram(star.fact, cube=cube),
+    ]
+    for df in made:
+        assert not fact_files & set(df.inputFiles())
+    for with_cube, alone in zip(made, [slices.band_slice(star.fact), slices.daily_slice(star.fact), slices.hour_slice(star.fact),
+                                       slices.heat_slice(star.fact), slices.amount_histogram(star.fact)]):
+        assert with_cube.collect() == alone.collect()

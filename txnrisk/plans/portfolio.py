@@ -181,6 +181,11 @@ def heat_map(fact: DataFrame, min_txns: int | None = 100, limit: int | None = 25
     base = fact.groupBy("part_of_day", "amount_band").agg(
         txns().alias("txns"), frauds().alias("fraud_txns")
     )
+    return heat_cells(base, min_txns, limit)
+
+
+def heat_cells(base: DataFrame, min_txns: int | None = 100, limit: int | None = 25) -> DataFrame:
+    """Q24 from (part_of_day, amount_band, txns, fraud_txns) cells."""
     if min_txns is not None:
         base = base.where(F.col("txns") > min_txns)
     cells = base.withColumn("fraud_rate_pct", rate_pct())

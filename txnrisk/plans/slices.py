@@ -26,7 +26,7 @@ from txnrisk.functions.windows import whole
 from txnrisk.operators import measures as M
 from txnrisk.operators.ordered import prefix_sums
 from txnrisk.plans import portfolio
-from txnrisk.plans.portfolio import by_day, rate_pct
+from txnrisk.plans.portfolio import rate_pct
 from txnrisk.plans.star import Star, enriched
 
 HASH_DIGITS = 5
@@ -54,14 +54,35 @@ def kpi_source(fact: DataFrame) -> DataFrame:
     )
 
 
-def band_slice(fact: DataFrame) -> DataFrame:
-    """R2."""
-    base = fact.groupBy("amount_band").agg(
-        txns().alias("txns"),
-        frauds().alias("fraud_txns"),
-        fraud_cents_or_zero().alias("_loss"),
-        value_cents().alias("_value"),
+def fine_rollup(fact: DataFrame, width: int = 10, top: int = 600, by: Sequence[str] | None = None) -> DataFrame:
+    """One roll-up of the fact that R2, R4, R5, R10 and R11 all read: rows and cents per day, hour,
+    day part, band, class and histogram bin (left-closed, ``width`` wide, null from ``top`` up).
+
+    It has at most days x 24 x (bands + bins) x 2 rows, whatever the number of transactions, so the
+    report reads the fact once for these five slices. ``by`` narrows it to what one slice needs.
+    """
+    start = F.when(F.col("amount") < top, (F.floor(cents() / F.lit(width * 100)) * width).cast("int"))
+    every = ["date_key", "txn_hour", "part_of_day", "amount_band"]
+    keys = [F.col(k) for k in (every if by is None else [k for k in by if k != "bin"])] + [F.col("is_fraud")]
+    if by is None or "bin" in by:
+        keys.append(start.alias("bin"))
+    return fact.groupBy(*keys).agg(
+        txns().alias("txns"), value_cents().alias("_value"), fraud_cents_or_zero().alias("_loss")
     )
+
+
+def _rolled_sums(cube: DataFrame, *by: str) -> DataFrame:
+    return cube.groupBy(*by).agg(
+        F.sum("txns").alias("txns"),
+        F.sum(F.col("is_fraud").cast("bigint") * F.col("txns")).alias("fraud_txns"),
+        F.sum("_loss").alias("_loss"),
+        F.sum("_value").alias("_value"),
+    )
+
+
+def band_slice(fact: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    """R2."""
+    base = _rolled_sums(fine_rollup(fact, by=["amount_band"]) if cube is None else cube, "amount_band")
     return base.select(
         "amount_band",
         "txns",
@@ -84,9 +105,10 @@ def type_slice(fact: DataFrame) -> DataFrame:
     )
 
 
-def daily_slice(fact: DataFrame, window: int = 7) -> DataFrame:
+def daily_slice(fact: DataFrame, window: int = 7, cube: DataFrame | None = None) -> DataFrame:
     """R4. The moving average is taken over the already rounded daily rate."""
-    days = by_day(fact).select(
+    rolled = _rolled_sums(fine_rollup(fact, by=["date_key"]) if cube is None else cube, "date_key")
+    days = rolled.withColumnRenamed("_loss", "_fraud").select(
         key_to_date(F.col("date_key")).alias("txn_date"),
         "txns",
         "fraud_txns",
@@ -100,9 +122,9 @@ def daily_slice(fact: DataFrame, window: int = 7) -> DataFrame:
     return days.withColumn("fraud_rate_7d_ma", round_half_even(mean, 3)).orderBy("txn_date")
 
 
-def hour_slice(fact: DataFrame) -> DataFrame:
+def hour_slice(fact: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """R5."""
-    base = fact.groupBy("txn_hour").agg(txns().alias("txns"), frauds().alias("fraud_txns"))
+    base = _rolled_sums(fine_rollup(fact, by=["txn_hour"]) if cube is None else cube, "txn_hour")
     return base.select(
         "txn_hour",
         labels.part_of_day(F.col("txn_hour")).alias("part_of_day"),
@@ -186,9 +208,11 @@ def stratified_extract(star: Star, limit: int = 40_000, seed: int = S.SEED) -> D
     return enriched(star, rows).orderBy("txn_datetime", "transaction_id")
 
 
-def heat_slice(fact: DataFrame) -> DataFrame:
+def heat_slice(fact: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """R10, long form."""
-    return portfolio.heat_map(fact, min_txns=None, limit=None)
+    day_parts = ["part_of_day", "amount_band"]
+    base = _rolled_sums(fine_rollup(fact, by=day_parts) if cube is None else cube, *day_parts)
+    return portfolio.heat_cells(base.select("part_of_day", "amount_band", "txns", "fraud_txns"), None, None)
 
 
 def heat_pivot(fact: DataFrame, bands: Sequence[str] = S.BAND_LABELS) -> DataFrame:
@@ -198,14 +222,10 @@ def heat_pivot(fact: DataFrame, bands: Sequence[str] = S.BAND_LABELS) -> DataFra
     return wide.agg(F.first("fraud_rate_pct")).toDF("part_of_day", *names).orderBy("part_of_day")
 
 
-def amount_histogram(fact: DataFrame, width: int = 10, top: int = 600) -> DataFrame:
+def amount_histogram(fact: DataFrame, width: int = 10, top: int = 600, cube: DataFrame | None = None) -> DataFrame:
     """R11. Left-closed bins below ``top``, with the share inside each class."""
-    start = (F.floor(cents() / F.lit(width * 100)) * width).cast("int")
-    counts = (
-        fact.where(F.col("amount") < top)
-        .groupBy("is_fraud", start.alias("bin"))
-        .agg(txns().alias("n"))
-    )
+    rolled = fine_rollup(fact, width, top, by=["bin"]) if cube is None else cube
+    counts = rolled.where(F.col("bin").isNotNull()).groupBy("is_fraud", "bin").agg(F.sum("txns").alias("n"))
     whole = F.sum("n").over(W.partitionBy("is_fraud"))  # at most top/width rows per class
     return counts.withColumn("pct_of_class", percent(F.col("n"), whole)).orderBy("bin", "is_fraud")
 
