@@ -95,3 +95,10 @@ def test_query_on_table(spark):
     table = spark.read.parquet(f"{folder}/conversations.parquet")
     rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
     assert spark_rows(op13_prefix_trie(spark, folder)) == brute(rows)
+
+
+def test_small_blocks_give_the_same_trie(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 7)
+    rows = [(5, t, "user", f"t{t % 5}") for t in range(120)] + [(105, t, "user", f"t{t % 5}") for t in range(30)]
+    rows += [(100, 0, "user", "x"), (101, None, None, None), (7, 3, "a", "b")] + random_rows(4, convs=20)
+    assert spark_rows(T.prefix_trie(make(spark, rows), weight=9)) == brute(rows)

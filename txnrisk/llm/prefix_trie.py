@@ -4,7 +4,8 @@ A conversation is a sequence of (role, text) turns. A depth-d node is a distinct
 d turns; the textless root has depth 0. Node identity is a 128-bit sequence hash: four 32-bit
 lanes, each the sum modulo 2**32 of a hash of (position, role, text) over the first d turns, so a
 prefix's key is a running sum, computed in blocks of ``BLOCK`` turns: a conversation with a third of
-all turns is spread over many tasks.
+all turns is spread over many tasks; joins of turns with what is known per conversation go by
+(conversation, block) for the same reason.
 
 Subtree totals are passed upwards by time-forward processing. Nodes are cut into shards, subtrees
 whose weight (rows of member conversations at or below the node, at least the subtree's size) is
@@ -46,6 +47,18 @@ MASK = (1 << 32) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def _blocks(first: Column, last: Column) -> Column:
+    """Block numbers (``BLOCK`` places each) from place ``first`` to place ``last``."""
+    low = F.floor(first / BLOCK).cast("long")
+    return F.explode(F.sequence(low, F.greatest(F.floor(last / BLOCK).cast("long"), low)))
+
+
+def _spread(per_c: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row per conversation, repeated for each block its places span: joined on (c, block), the
+    rows of a conversation with a third of all turns meet it in as many tasks as it has blocks."""
+    return per_c.withColumn("block", _blocks(first, last))
+
+
 def ordered_turns(conversations: DataFrame) -> DataFrame:
     """(c, pos, role, text, n_turns): positions from 0 within each conversation."""
     turns = conversations.filter(F.col("conv_id").isNotNull()).select(
@@ -56,7 +69,9 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     )
     placed = numbered(turns, "row_no", F.col("c"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"))
     first = placed.groupBy("c").agg(F.min("row_no").alias("first_no"), F.count("*").alias("n_turns"))
-    return placed.join(first, "c").select(
+    first = _spread(first, F.col("first_no"), F.col("first_no") + F.col("n_turns") - 1)
+    placed = placed.withColumn("block", F.floor(F.col("row_no") / BLOCK).cast("long"))
+    return placed.join(first, ["c", "block"]).select(
         "c", (F.col("row_no") - F.col("first_no")).alias("pos"), "role", "text", "n_turns"
     )
 
@@ -78,14 +93,17 @@ def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     borrowed = convs.join(heads, "base").filter(F.col("pos") < F.col("h")).select("c", "pos", "role", "text")
     taken = borrowed.groupBy("c").agg(F.count("*").alias("m"))
     sized = convs.join(taken, "c", "left").select(
-        "c", "h", F.coalesce("m", F.lit(0)).alias("m"),
+        "c", "h", "n_turns", F.coalesce("m", F.lit(0)).alias("m"),
         (F.coalesce("m", F.lit(0)) + F.greatest(F.col("n_turns") - F.col("h"), F.lit(0))).alias("length"),
     )
     sized = settled(sized)
-    kept = own.join(sized.select("c", "h", "m"), "c").filter(F.col("pos") >= F.col("h"))
+    shifts = _spread(sized.select("c", "h", "m", "n_turns"), F.lit(0), F.col("n_turns") - 1)
+    at = F.floor(F.col("pos") / BLOCK).cast("long").alias("block")
+    kept = own.select("*", at).join(shifts, ["c", "block"]).filter(F.col("pos") >= F.col("h"))
     kept = kept.select("c", (F.col("pos") - F.col("h") + F.col("m")).alias("pos"), "role", "text")
     lengths = sized.select("c", "length")
-    turns = borrowed.unionByName(kept).join(lengths, "c")
+    spread = _spread(lengths, F.lit(0), F.col("length") - 1)
+    turns = borrowed.unionByName(kept).select("*", at).join(spread, ["c", "block"]).drop("block")
     return settled(turns), lengths
 
 
@@ -178,12 +196,20 @@ def subtree_totals(rows: DataFrame, nodes: DataFrame, weight: int = SHARD_WEIGHT
         few = tops.count() <= BROADCAST_TOPS
         marked = current.join(F.broadcast(tops) if few else tops, ["k1", "k2"], "left")
         marked = settled(marked.withColumn("top", F.coalesce("top", F.lit(False))))
-        stars = marked.groupBy("c").agg(F.sum(F.col("top").cast("long")).alias("d_star"))
-        marked = settled(marked.join(stars, "c"))
-        roots = marked.filter(F.col("d") == F.col("d_star")).select("c", F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+        at = F.floor(F.col("d") / BLOCK).cast("long").alias("block")
+        stars = marked.groupBy("c").agg(
+            F.sum(F.col("top").cast("long")).alias("d_star"), F.max("limit").alias("_last")
+        )
+        stars = _spread(stars, F.lit(0), F.col("_last")).drop("_last")
+        marked = settled(marked.select("*", at).join(stars, ["c", "block"]).drop("block"))
+        roots = marked.filter(F.col("d") == F.col("d_star")).select(
+            "c", "d_star", "limit", F.col("k1").alias("r1"), F.col("k2").alias("r2")
+        )
+        roots = _spread(roots, F.col("d_star"), F.col("limit")).drop("d_star", "limit")
         placed = (
             marked.filter(F.col("d") >= F.col("d_star"))
-            .join(roots, "c")
+            .select("*", at)
+            .join(roots, ["c", "block"])
             .select("k1", "k2", "r1", "r2")
             .dropDuplicates(["k1", "k2"])
         )
