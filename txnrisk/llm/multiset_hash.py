@@ -109,7 +109,11 @@ def likeness(a: Vector, b: Vector) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint binary) for every row; repeated rows stay, an empty table gives no rows."""
+    """(id, fingerprint binary) for every row; repeated rows stay, an empty table gives no rows.
+
+    A null text is the empty text (one empty paragraph); a null id is kept as null.
+    Whole texts are read, however long: the cost grows with the number of paragraphs.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(columns: list[list]) -> list[list]:
@@ -126,7 +130,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edit replaces the last quarter of the characters (rounded down) by as many, or all, from the
     start of the next document; its fingerprint is derived from the document's by deletion and
     insertion. (id, n_chars, edited_sha256, fingerprint, edited_fingerprint (binary), near_edited,
-    near_next); order, ties and nulls as in ``map_with_next``.
+    near_next); order, ties and nulls as in ``map_with_next``. Whole texts are compared, however
+    long; a task holds two documents at a time.
     """
 
     def prepare(text: str) -> tuple[str, Vector]:

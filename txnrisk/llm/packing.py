@@ -219,7 +219,8 @@ def pack(
     text is one id. ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers. Every id lies
     in exactly one piece; a sequence's offsets run from 0 without gaps and its length is at most ``size``. Repeated
     rows are packed each on its own; other columns are not read; an empty table gives no rows.
-    Which documents share a sequence depends on how rows were read.
+    Which documents share a sequence depends on how rows were read. A very long document is cut into
+    as many pieces as it needs; its ids are never truncated.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (

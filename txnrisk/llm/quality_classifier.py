@@ -121,6 +121,8 @@ def score_documents(stats: DataFrame, model: Discriminant) -> DataFrame:
     """(id, score double) for every row of ``document_statistics``; an empty text has a score too.
 
     Labels, language, source and id are no inputs. Repeated rows stay; an empty table gives no rows.
+    Only ``id`` and the feature columns are read, so other columns of any name are passed over. Very
+    long texts arrive as their statistics, one row each.
     """
     kind = stats.schema["id"].dataType
 

@@ -60,7 +60,8 @@ def judge_documents(
     """(id, counts, base_failed, score, kept) for every row.
 
     A null or empty text has no words and fails the base. Repeated rows stay; other columns are not read; an
-    empty table gives no rows.
+    empty table gives no rows. Very long texts are read whole. A score exactly at ``keep_at`` keeps the
+    document (ties keep).
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

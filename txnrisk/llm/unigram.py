@@ -118,7 +118,8 @@ def encode_documents(
 ) -> DataFrame:
     """(id, ids array<int>, the columns of ``keep``) of whole texts.
 
-    Null and empty texts have no ids. Repeated rows stay, an empty table gives no rows.
+    Null and empty texts have no ids. Repeated rows stay, an empty table gives no rows. Very long texts
+    are encoded whole, in short slices cut only before a run of spaces.
     """
 
     def rows(columns: list[list]) -> list[list]:
