@@ -455,7 +455,7 @@ def _questions() -> dict[str, Query]:
         return moved.withColumn("prev_week_fraud", F.col("prev_week_fraud").cast("double"))
 
     return {
-        "q01_portfolio_totals": on_fact(portfolio.totals),
+        "q01_portfolio_totals": on_star(lambda s: portfolio.totals_from_dimensions(s.customer, s.terminal)),
         "q02_class_profile": on_fact(portfolio.class_profile),
         "q03_loss_by_type": on_fact(portfolio.loss_by_type),
         "q04_band_lift": on_fact(portfolio.band_lift),

@@ -34,6 +34,16 @@ def test_portfolio_totals(star, rows):
     assert got["value_at_risk_pct"] == pytest.approx(100 * loss / value, abs=0.0005)
 
 
+def test_totals_from_dimensions_equal_the_fact_scan(spark, star, clean_frame):
+    from txnrisk.operators import dims
+    from txnrisk.operators.features import build_fact
+
+    assert portfolio.totals_from_dimensions(star.customer, star.terminal).collect() == portfolio.totals(star.fact).collect()
+    fact = build_fact(clean_frame([(1, "2024-01-01 10:00:00", 1, 1, "5.10", 0), (2, "2024-01-02 10:00:00", 2, 1, "7.25", 0)]))
+    quiet = (dims.build_dim_customer(fact), dims.build_dim_terminal(fact))
+    assert portfolio.totals_from_dimensions(*quiet).collect() == portfolio.totals(fact).collect()
+
+
 def test_no_fraud_leaves_the_fraud_value_null(clean_frame):
     one = clean_frame([(1, "2024-03-01 10:00:00", 1, 5, "10.00", 0)])
     got = portfolio.totals(one).first()

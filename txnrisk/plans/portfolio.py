@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from txnrisk import schema as S
 from txnrisk.functions import labels
 from txnrisk.functions.money import (
+    cents_of_double,
     fraud_cents,
     fraud_cents_or_zero,
     frauds,
@@ -54,6 +55,31 @@ def totals(fact: DataFrame) -> DataFrame:
     )
 
 
+def totals_from_dimensions(dim_customer: DataFrame, dim_terminal: DataFrame) -> DataFrame:
+    """Q1 without a fact scan: terminals hold every row's count, value and fraud once, customers
+    are the rows of their dimension. Volumes are exact cents stored as doubles, so sums are exact."""
+    base = dim_terminal.agg(
+        F.sum("total_txns").alias("total_txns"),
+        F.sum(cents_of_double("total_volume")).alias("_value"),
+        F.sum("fraud_txns").alias("fraud_txns"),
+        F.sum(cents_of_double(F.coalesce("fraud_volume", F.lit(0.0)))).alias("_all_fraud"),
+        F.count(F.lit(1)).alias("terminals"),
+    )
+    base = with_row(base, dim_customer.agg(F.count("customer_id").alias("customers")))
+    fraud = F.when(F.col("fraud_txns") > 0, F.col("_all_fraud"))
+    exposed = F.coalesce(fraud, F.lit(0))
+    return base.select(
+        F.coalesce("total_txns", F.lit(0)).alias("total_txns"),
+        "customers",
+        "terminals",
+        r(money(F.col("_value")), 2).alias("total_value"),
+        F.coalesce("fraud_txns", F.lit(0)).alias("fraud_txns"),
+        rate_pct("fraud_txns", "total_txns").alias("fraud_rate_pct"),
+        r(money(fraud), 2).alias("fraud_value"),
+        r(percent(exposed, F.col("_value")), 3).alias("value_at_risk_pct"),
+    )
+
+
 def class_profile(fact: DataFrame) -> DataFrame:
     """Q2. Fraudulent against legitimate."""
     base = fact.groupBy("is_fraud").agg(
