@@ -371,6 +371,15 @@ def _round_trips() -> dict[str, Query]:
             spark.sql(f"DROP DATABASE {name} CASCADE")
         return scanned
 
+    def terminal_lookup(spark, folder):
+        """The rows of the 15 terminals with the most fraud loss, from the terminal-ordered copy."""
+        star = star_of(spark, folder)
+        target = fresh_path(spark, "by_terminal")
+        files.write_terminal_copy(star.fact, target)
+        worst = star.terminal.orderBy(F.desc("fraud_volume"), "terminal_id").limit(15)
+        wanted = [r["terminal_id"] for r in worst.collect()]  # a list of 15, pushed to the scan as In
+        return shown(files.read_fact(spark, target).where(F.col("terminal_id").isin(wanted)))
+
     def catalog_view(spark, folder):
         """The enriched view published to the catalog, read by another session of it."""
         location = fresh_path(spark, "warehouse")
@@ -441,6 +450,7 @@ def _round_trips() -> dict[str, Query]:
         "s09_constraints": on_star(lambda star: quality.constraint_report(star.tables())),
         "s10_enriched_view": on_star(enriched),
         "s10_catalog_view": catalog_view,
+        "s03_terminal_lookup": terminal_lookup,
         "s11_slice_reader": slice_read,
     }
 

@@ -170,6 +170,10 @@ raw AS (
            UNION ALL SELECT 'dim_amount_band', count(*) FROM dim_amount_band"""
     )
     q["s08_star_increment"] = fact
+    q["s03_terminal_lookup"] = t(
+        f"""SELECT {FACT_COLUMNS} FROM fact WHERE terminal_id IN
+              (SELECT terminal_id FROM dim_terminal ORDER BY fraud_volume DESC, terminal_id LIMIT 15)"""
+    )
     q["s09_constraints"] = t(_constraints())
     q["s10_enriched_view"] = t(
         """SELECT transaction_id, txn_datetime, date, month_name, day_name, is_weekend,

@@ -240,3 +240,30 @@ def test_five_slices_read_the_roll_up_not_the_fact(spark, star):
     for with_cube, alone in zip(made, [slices.band_slice(star.fact), slices.daily_slice(star.fact), slices.hour_slice(star.fact),
                                        slices.heat_slice(star.fact), slices.amount_histogram(star.fact)]):
         assert with_cube.collect() == alone.collect()
+
+
+def test_terminal_copy_reads_few_row_groups(spark, star, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    def groups_touched(folder, wanted):
+        touched = total = 0
+        for path in glob.glob(f"{folder}/**/*.parquet", recursive=True):
+            meta = pq.ParquetFile(path).metadata
+            at = meta.schema.to_arrow_schema().get_field_index("terminal_id")
+            for g in range(meta.num_row_groups):
+                stats = meta.row_group(g).column(at).statistics
+                total += 1
+                touched += any(stats.min <= t <= stats.max for t in wanted)
+        return touched, total
+
+    by_terminal, by_day = str(tmp_path / "t"), str(tmp_path / "d")
+    files.write_terminal_copy(star.fact, by_terminal, row_group_bytes=1024)
+    star.fact.orderBy("txn_datetime").write.option("parquet.block.size", "1024").parquet(by_day)
+    wanted = [5, 9]
+    t_touched, t_total = groups_touched(by_terminal, wanted)
+    d_touched, d_total = groups_touched(by_day, wanted)
+    assert t_total > 4 and t_touched / t_total < 0.5 < d_touched / d_total
+    got = files.read_fact(spark, by_terminal).where(F.col("terminal_id").isin(wanted))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, star.fact.where(F.col("terminal_id").isin(wanted)).collect()))
