@@ -650,6 +650,8 @@ def _measures() -> dict[str, Query]:
 
     found = {key: simple(name, by) for key, (name, _, by) in SIMPLE_MEASURES.items()}
     found["m24_selection_rule"] = on_star(selections)
+    # approximate by design (HLL sketches per day and class): no SQL twin, held within error by a test
+    found["m17_sketch"] = on_star(lambda star: M.affected_from_sketches(settled(M.sketch_slice(star.fact))))
     found |= {key: by_threshold(name) for key, name in THRESHOLD_MEASURES.items()}
     found |= {
         "m10_portfolio_rate": lifted(

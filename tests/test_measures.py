@@ -184,3 +184,25 @@ def test_no_fact_row_meets_a_join_with_three_dimensions(spark, star):
         above = [plan[j].strip(" :+-") for j in range(at - 1, -1, -1) if depth(plan[j]) < depth(plan[at])]
         nearest = next(op for op in above if not op.startswith(("Project", "Filter")))
         assert nearest.startswith("Aggregate"), nearest
+
+
+def test_sketches_estimate_the_distinct_counts(spark):
+    from txnrisk.sources.workspace import settled
+
+    fact = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    import __spark_entry__ as entry
+
+    star = entry.star_of(spark, "/root/testdata/sf0.01")
+    sketches = settled(M.sketch_slice(star.fact))
+    got = M.affected_from_sketches(sketches).first()
+    bad = star.fact.where("is_fraud = 1")
+    exact = (bad.select("terminal_id").distinct().count(), bad.select("customer_id").distinct().count())
+    for estimate, count in zip((got["terminals_affected"], got["customers_affected"]), exact):
+        assert abs(estimate - count) <= 0.047 * count + 1
+    days = sorted(r[0] for r in star.date.select("date").collect())
+    span = (str(days[3]), str(days[10]))
+    part = M.affected_from_sketches(sketches, span).first()
+    keys = star.date.where(F.col("date").between(*span)).select("date_key")
+    inside = bad.join(keys, "date_key", "left_semi")
+    assert abs(part["terminals_affected"] - inside.select("terminal_id").distinct().count()) <= 0.047 * inside.count() + 1
+    assert fact.count() > 0 and sketches.count() <= 2 * star.date.count()

@@ -18,6 +18,7 @@ from txnrisk.functions.money import (
     fraud_cents_or_zero,
     frauds,
     money,
+    percent,
     ratio,
     ratio_or_zero,
     txns,
@@ -427,3 +428,49 @@ def threshold_measures(
         model["operating"].alias("operating_cost"),
         model["net"].alias("net_benefit"),
     )
+
+
+# --- distinct counts from mergeable sketches (the approximate opt-in) ------------------------------
+
+SKETCH_LG_K = 12  # 4,096 buckets: relative standard error about 1.6 %
+
+
+def sketch_slice(fact: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """One row per day and class: HLL sketches of its customers and terminals.
+
+    At most days x 2 rows of a few KB each, whatever the number of transactions; any filter on days
+    and class is answered by merging sketches, without reading the fact.
+    """
+    return fact.groupBy("date_key", "is_fraud").agg(
+        F.hll_sketch_agg("customer_id", lg_k).alias("customers"),
+        F.hll_sketch_agg("terminal_id", lg_k).alias("terminals"),
+        F.count(F.lit(1)).alias("txns"),
+    )
+
+
+def _day_key(day: str) -> Column:
+    return dates.date_key(F.lit(day).cast("date"))
+
+
+def affected_from_sketches(sketches: DataFrame, span: tuple[str, str] | None = None) -> DataFrame:
+    """M17, M18 and M19 estimated from ``sketch_slice`` over a date range (all days if None).
+
+    Estimates are within a few percent (three standard errors about 4.7 % at ``lg_k`` 12).
+    """
+    rows = sketches
+    if span is not None:
+        rows = rows.where(F.col("date_key").between(_day_key(span[0]), _day_key(span[1])))
+    bad = rows.where(F.col("is_fraud") == 1)
+    fraud_part = bad.agg(
+        F.hll_sketch_estimate(F.hll_union_agg("terminals", True)).alias("terminals_affected"),
+        F.hll_sketch_estimate(F.hll_union_agg("customers", True)).alias("customers_affected"),
+    )
+    every = rows.agg(F.hll_sketch_estimate(F.hll_union_agg("customers", True)).alias("_customers"))
+    both = with_row(fraud_part, every)
+    return both.select(
+        F.coalesce("terminals_affected", F.lit(0)).alias("terminals_affected"),
+        F.coalesce("customers_affected", F.lit(0)).alias("customers_affected"),
+        round_half_up(percent(F.coalesce("customers_affected", F.lit(0)), F.col("_customers")), 2).alias(
+            "customer_impact_rate_pct"
+        ),
+    )
