@@ -86,6 +86,35 @@ def test_running_columns_match_a_plain_scan(spark, ties, coalesce):
     assert sorted(map(tuple, split), key=str) == sorted(want, key=str)
 
 
+def test_running_columns_split_a_heavy_key_at_its_cut_points(spark, ties, monkeypatch):
+    monkeypatch.setattr(running, "SLICE_ROWS", 10)
+    for most in (2_000, 7):  # all cut points, then thinned ones
+        monkeypatch.setattr(running, "MOST_CUTS", most)
+        keyed = ties.withColumn("k", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 5 + 2))
+        cuts = {r["k"]: len(r["_cuts"]) for r in running._cuts(keyed, "k", ["v", "id"]).collect()}
+        assert cuts[1] > 1 and sum(cuts.values()) <= 2 * most
+        test_running_columns_match_a_plain_scan(spark, ties, "false")
+
+
+def test_running_columns_leave_out_rows_without_a_key(spark, monkeypatch):
+    for step in (50_000, 1):
+        monkeypatch.setattr(running, "SLICE_ROWS", step)
+        rows = spark.createDataFrame([(1, 1), (1, 2), (None, 3), (None, 4)], "k int, v int")
+        got = running_columns(rows, "k", ["v"], {"place": running.counted()}).collect()
+        assert sorted(map(tuple, got)) == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_the_star_shuffles_rows_once_per_running_key_and_writes_no_copies(spark, many):
+    from txnrisk.operators.features import build_fact
+    from txnrisk.sources.workspace import settled
+
+    clean = settled(many)
+    built = build_fact(clean)
+    assert sorted(built.inputFiles()) == sorted(clean.inputFiles())
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_every_order_statistic_is_the_same_in_many_slices(spark, star):
     from txnrisk.operators import dims, measures as M, significance as A
     from txnrisk.plans import customers, slices
