@@ -115,6 +115,25 @@ def test_the_star_shuffles_rows_once_per_running_key_and_writes_no_copies(spark,
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_ranges_are_contiguous_and_need_no_second_run_of_their_rows(spark, many, monkeypatch):
+    from txnrisk.operators.features import time_features
+    from txnrisk.sources.workspace import settled
+
+    source = time_features(settled(many))
+    order = ["txn_datetime", "transaction_id"]
+    for step, cuts, least in ((50_000, 4, 1), (10, 8, 5), (10, 1, 40)):
+        monkeypatch.setattr(running, "SLICE_ROWS", step)
+        monkeypatch.setattr(running, "RANGE_CUTS", cuts)
+        computed = spark.sparkContext.accumulator(0)
+        seen = F.udf(lambda i: (computed.add(1), i)[1], "long").asNondeterministic()
+        rows = source.withColumn("transaction_id", seen("transaction_id"))
+        dealt = running.in_ranges(rows, "date_key", order, source)
+        parts = dealt.select(F.spark_partition_id().alias("p"), "date_key", *order).collect()
+        assert computed.value == len(parts) == 900
+        in_order = [r["p"] for r in sorted(parts, key=lambda r: (r["date_key"], r["txn_datetime"], r["transaction_id"]))]
+        assert in_order == sorted(in_order) and len(set(in_order)) >= least
+
+
 def test_every_order_statistic_is_the_same_in_many_slices(spark, star):
     from txnrisk.operators import dims, measures as M, significance as A
     from txnrisk.plans import customers, slices

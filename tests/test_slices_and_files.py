@@ -267,3 +267,18 @@ def test_terminal_copy_reads_few_row_groups(spark, star, tmp_path):
     assert t_total > 4 and t_touched / t_total < 0.5 < d_touched / d_total
     got = files.read_fact(spark, by_terminal).where(F.col("terminal_id").isin(wanted))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, star.fact.where(F.col("terminal_id").isin(wanted)).collect()))
+
+
+def test_the_event_adapter_parses_each_json_value_once(spark, tmp_path):
+    from txnrisk.operators import quality
+    from txnrisk.sources.sample_tables import events_as_raw
+
+    spark.sql(
+        """SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, id AS user_id, 'error' AS event_type,
+        double(id) AS value, CASE WHEN id < 3 THEN concat('{"k": ', id + 22, '}') END AS props FROM range(4)"""
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    raw = events_as_raw(spark, str(tmp_path))
+    rows = {r["TRANSACTION_ID"]: (r["TERMINAL_ID"], r["TX_FRAUD"], r["TX_FRAUD_SCENARIO"]) for r in raw.collect()}
+    assert rows == {0: (22, 0, 0), 1: (23, 1, 2), 2: (24, 0, 0), 3: (None, 0, 0)}
+    for made in (raw, quality.clean(raw)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
