@@ -116,3 +116,12 @@ def test_tail_probabilities(spark):
     assert row[0] == pytest.approx(0.05, abs=1e-7)
     assert row[1] == pytest.approx(0.05, abs=1e-6)
     assert row[2] == 1.0
+
+
+def test_minutes_between_are_exact_to_the_microsecond(spark):
+    at = dt.datetime(2024, 2, 28, 23, 59, 59, 999_999)
+    later = [at, at + dt.timedelta(microseconds=1), at + dt.timedelta(days=400, hours=5, seconds=1, microseconds=7)]
+    df = spark.createDataFrame([(x, at) for x in [*later, None]], "x timestamp_ntz, y timestamp_ntz")
+    got = [r[0] for r in df.select(dates.minutes_between(F.col("x"), F.col("y"))).collect()]
+    assert got == [(x - at) // dt.timedelta(microseconds=1) / 1e6 / 60.0 for x in later] + [None]
+    assert df.select(dates.minutes_between(F.col("y"), F.col("x"))).collect()[2][0] == -got[2]

@@ -188,3 +188,23 @@ def test_owners_are_per_thread(spark):
         t.join()
     assert all(path.startswith(folder) for folder, path in seen.values())
     assert seen["a"][0] != seen["b"][0]
+
+
+def test_independent_steps_run_at_the_same_time(spark):
+    import threading
+
+    both, folders = threading.Barrier(2), []
+
+    def step():
+        both.wait(timeout=60)  # breaks unless the other step runs too
+        folders.append(os.path.dirname(workspace.fresh_path(spark, "step")))
+
+    with workspace.run_folder(spark) as folder:
+        workspace.together(spark, step, step)
+        assert folders == [folder, folder]
+
+    def bad():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        workspace.together(spark, bad, lambda: None)

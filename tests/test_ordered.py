@@ -115,6 +115,43 @@ def test_the_star_shuffles_rows_once_per_running_key_and_writes_no_copies(spark,
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_the_star_shuffles_no_column_that_a_row_gives_by_itself(spark, many):
+    from txnrisk.operators.features import build_fact
+    from txnrisk.sources.workspace import settled
+
+    plan = build_fact(settled(many))._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Exchange hashpartitioning")
+    for name in ("amount_band", "part_of_day", "fraud_type", "txn_hour"):
+        assert name in above and name not in below
+
+
+def test_cut_points_of_several_orders_come_from_one_scan(spark, ties, monkeypatch):
+    monkeypatch.setattr(running, "SLICE_ROWS", 10)
+    keyed = ties.withColumns({"a": F.col("id") % 3, "b": F.when(F.col("id") % 7 > 0, F.col("id") % 5)})
+    scanned = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda i: (scanned.add(1), i)[1], "long").asNondeterministic()
+    orders = [("a", ["v", "id"]), ("b", ["id"])]
+    drawn = running.cut_rows(keyed.withColumn("id", seen("id")), *orders)
+    for key, order in orders:
+        alone = running._cuts(keyed.where(F.col(key).isNotNull()), key, order)
+        shared = running._cuts(drawn.where(F.col(key).isNotNull()), key, order)
+        assert sorted(map(str, shared.collect())) == sorted(map(str, alone.collect()))
+    assert scanned.value == 600
+
+
+def test_slices_are_found_by_bisection(spark):
+    """As many comparisons as the number of cut points has binary digits, not one for each."""
+    for n in (1, 2, 3, 7, 8, 100):
+        rows = spark.range(-3, 2 * n + 3).select(F.lit(1).alias("k"), "id")
+        found = spark.range(n).select(F.lit(1).alias("k"), F.struct((2 * F.col("id")).alias("id")).alias("at"))
+        cuts = found.groupBy("k").agg(F.sort_array(F.collect_list("at")).alias("_cuts"))
+        cuts = running._with_steps(cuts, n + 5)
+        assert len(cuts.first()["_steps"]) == n.bit_length()
+        got = running._numbered(rows.unionByName(spark.range(1).select(F.lit(2).alias("k"), "id")), cuts, "k", ["id"], "left")
+        for r in got.collect():
+            assert r["_slice"] == (sum(2 * c <= r["id"] for c in range(n)) if r["k"] == 1 else 0)
+
+
 def test_ranges_are_contiguous_and_need_no_second_run_of_their_rows(spark, many, monkeypatch):
     from txnrisk.operators.features import time_features
     from txnrisk.sources.workspace import settled

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnrisk import schema as S
 from txnrisk.functions.money import cents
-from txnrisk.operators import dims, running
+from txnrisk.operators import running
 from txnrisk.operators.features import (
     CUSTOMER_ORDER,
     TERMINAL_ORDERS,
@@ -34,7 +34,7 @@ from txnrisk.operators.features import (
     time_features,
 )
 from txnrisk.operators.running import running_columns
-from txnrisk.plans.star import Star, build_from_clean, open_star
+from txnrisk.plans.star import Star, build_from_clean, open_star, write_dimensions
 from txnrisk.sources import files
 from txnrisk.sources.workspace import settled
 
@@ -143,14 +143,7 @@ def extend_star(clean_rows: DataFrame, folder: str, terminal_order: str = "custo
     rewritten = settled(changed.unionByName(others.select(S.FACT.fieldNames())))
     files.write_fact(rewritten, target)
 
-    fact = files.read_fact(spark, target)
-    for name, build in (
-        ("dim_date", dims.build_dim_date),
-        ("dim_customer", dims.build_dim_customer),
-        ("dim_terminal", dims.build_dim_terminal),
-        ("dim_amount_band", dims.build_dim_amount_band),
-    ):
-        files.write_parquet(build(fact), f"{folder}/{name}")
+    write_dimensions(files.read_fact(spark, target), folder)
     _merge_states(spark, folder, customer_state, terminal_state, late_c, late_t, new, terminal_order)
     return open_star(spark, folder)
 
