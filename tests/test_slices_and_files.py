@@ -223,6 +223,34 @@ def test_bucketed_tables_join_without_moving_the_fact(spark, star, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_tables_are_published_at_the_same_time_with_their_statistics(spark, star, tmp_path, monkeypatch):
+    import threading
+
+    from pyspark.sql import DataFrameWriter
+
+    from txnrisk.plans.star import publish
+
+    everyone, save = threading.Barrier(5), DataFrameWriter.saveAsTable
+
+    def meet(self, *args, **options):
+        everyone.wait(timeout=60)  # breaks unless all five tables are being written
+        return save(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", meet)
+    spark.sql(f"CREATE DATABASE published LOCATION '{tmp_path}/wh'")
+    try:
+        publish(star, "published")
+        for name, df in star.tables().items():
+            told = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED published.{name}").collect()}
+            assert f"{df.count()} rows" in told["Statistics"]
+            for column in df.columns:
+                facts = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED published.{name} {column}").collect()}
+                assert facts["distinct_count"] != "NULL"
+        assert as_set(spark.table(f"published.{VIEW}")) == as_set(enriched(star))
+    finally:
+        spark.sql("DROP DATABASE published CASCADE")
+
+
 def test_five_slices_read_the_roll_up_not_the_fact(spark, star):
     from txnrisk.sources.workspace import settled
 
